@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gramsieve.llm import bpe
+from gramsieve.llm import bpe, quality
 from gramsieve.llm.common import table
 
 
@@ -23,11 +23,53 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("doc_id", F.size("token_ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    book = quality.judge(quality.ledger(docs), "v1")
+    failed = F.col("fail_bits").bitwiseAND(F.lit(quality.mask("base")).cast("long")) != 0
+    return book.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), "kept", "n_lines", "fail_bits")
+
+
+OP2_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents
+), m AS (
+  SELECT r, doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w,
+    list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls
+  FROM d
+), win AS (
+  SELECT r, i, array_to_string(w[i:i+4], ' ') AS g FROM (SELECT r, w, unnest(range(1, len(w) - 3)) AS i FROM m)
+), twice AS (
+  SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS c FROM win) WHERE c > 1
+), rep AS (
+  SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest(range(i, i + 5)) AS p FROM twice) GROUP BY r
+), x AS (
+  SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words,
+    CAST(coalesce(list_sum(list_transform(w, lambda z: length(z))), 0) AS BIGINT) AS word_chars,
+    CAST(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
+    CAST(len(ls) AS BIGINT) AS n_lines,
+    CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines,
+    CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words
+  FROM m LEFT JOIN rep USING (r)
+), b AS (
+  SELECT *, CAST(CASE WHEN n_words < 10 THEN 1 ELSE 0 END
+    + CASE WHEN 100 * n_repeat_words > 20 * n_words THEN 2 ELSE 0 END
+    + CASE WHEN word_chars < 2 * n_words THEN 4 ELSE 0 END
+    + CASE WHEN word_chars > 25 * n_words THEN 8 ELSE 0 END
+    + CASE WHEN 10 * n_symbols > n_words THEN 16 ELSE 0 END
+    + CASE WHEN 10 * n_dup_lines > 5 * n_lines THEN 32 ELSE 0 END AS BIGINT) AS fail_bits
+  FROM x
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+  (fail_bits & 3) <> 0 AS base_failed, fail_bits = 0 AS kept, n_lines, fail_bits FROM b
+"""
+
+
 def queries() -> dict:
     import corpus_pipeline
 
-    return {"op1_bpe": op1_bpe, "pipeline": corpus_pipeline.run}
+    return {"op1_bpe": op1_bpe, "op2_quality": op2_quality, "pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_quality": OP2_SQL}
