@@ -69,7 +69,7 @@ def _twins(ordered: Column) -> Column:
 
 def ledger(df: DataFrame, text: str = "text", rules: Iterable[Rule] = RULES) -> DataFrame:
     """Adds the measurements, ``fail_bits`` (long, one bit a failed rule) and no verdict."""
-    out = without(df, [*MEASURES, "fail_bits", "__w", "__h", "__s"])
+    out = without(df, [*MEASURES, "fail_bits", "__w", "__h", "__s", "__l"])
     content = F.coalesce(F.col(text), F.lit(""))
     out = out.withColumn("__w", words(F.col(text)))
     out = out.withColumn("__h", F.transform("__w", lambda w: F.xxhash64(w)))
@@ -91,18 +91,19 @@ def ledger(df: DataFrame, text: str = "text", rules: Iterable[Rule] = RULES) ->
         lambda a: a["n"],
     )
     lines = F.filter(F.split(content, "\n"), lambda x: F.length(F.translate(x, SPACES, "")) > 0)
-    out = out.withColumns(
-        {
-            "n_words": F.size("__w").cast("long"),
-            "word_chars": F.length(F.translate(content, SPACES, "")).cast("long"),
-            "n_symbols": (F.length(content) - F.length(F.translate(content, SYMBOLS, ""))).cast("long"),
-            "n_repeat_words": F.coalesce(covered, F.lit(0).cast("long")),
-            "__w": lines,
-        }
+    out = out.withColumn("__l", lines)
+    measured = F.struct(
+        F.size("__w").cast("long").alias("n_words"),
+        F.length(F.translate(content, SPACES, "")).cast("long").alias("word_chars"),
+        (F.length(content) - F.length(F.translate(content, SYMBOLS, ""))).cast("long").alias("n_symbols"),
+        F.size("__l").cast("long").alias("n_lines"),
+        (F.size("__l") - F.size(F.array_distinct("__l"))).cast("long").alias("n_dup_lines"),
+        F.coalesce(covered, F.lit(0).cast("long")).alias("n_repeat_words"),
     )
-    out = out.withColumns({"n_lines": F.size("__w").cast("long"), "n_dup_lines": (F.size("__w") - F.size(F.array_distinct("__w"))).cast("long")})
+    # a generator stops later filters from being pushed below it, where each use would measure the text again
+    out = out.select(*[c for c in out.columns if c not in ("__w", "__h", "__s", "__l")], F.inline(F.array(measured)))
     bits = sum((F.when(F.expr(r.failed), F.lit(1 << r.bit)).otherwise(F.lit(0)).cast("long") for r in rules), F.lit(0).cast("long"))
-    return out.withColumn("fail_bits", bits).drop("__w", "__h", "__s")
+    return out.withColumn("fail_bits", bits)
 
 
 def judge(book: DataFrame, policy: str = "v1", verdict: str = "kept") -> DataFrame:
