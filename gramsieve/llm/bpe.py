@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from gramsieve.llm.common import without
+from gramsieve.shipping import ship
 
 #: The largest rank file that is broadcast.
 MAX_RANK_BYTES = 32 << 20
@@ -94,6 +95,7 @@ def encode_text(enc, text: str | None) -> np.ndarray:
 def encode(df: DataFrame, rank_path: str, text: str = "text", ids: str = "token_ids", pattern: str = FAST) -> DataFrame:
     """Adds ``ids``, the token ids (array of int) of column ``text``; no special tokens."""
     spark = df.sparkSession
+    ship(spark)
     shared = spark.sparkContext.broadcast(read_ranks(rank_path))
     df = without(df, [ids])
     names = df.columns
@@ -115,6 +117,7 @@ def encode(df: DataFrame, rank_path: str, text: str = "text", ids: str = "token_
 def decode(df: DataFrame, rank_path: str, ids: str = "token_ids", out: str = "decoded", pattern: str = FAST) -> DataFrame:
     """Adds ``out``, the raw bytes that the ids in ``ids`` stand for (binary; they need not be valid UTF-8)."""
     spark = df.sparkSession
+    ship(spark)
     shared = spark.sparkContext.broadcast(read_ranks(rank_path))
     df = without(df, [out])
     names = df.columns

@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 from gramsieve.llm.common import cut, salted_lookup
 from gramsieve.llm.components import components
 from gramsieve.llm.shingles import mixed, shingle_set
+from gramsieve.shipping import ship
 
 #: Values that must agree in a tree's order, values by which it goes on, trees, and trees of the first round.
 DEPTH, DEEPER, TREES, FIRST = 4, 4, 28, 4
@@ -220,6 +221,7 @@ def _split(pairs: DataFrame, parts: DataFrame) -> DataFrame:
 
 def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
     """One row a document: ``doc_id``, ``n_shingles``, ``component_id`` and ``kept`` (its id is the component's)."""
+    ship(df.sparkSession)
     seen = cut(sketch(df, doc_id, text, words))
     classes = cut(seen.filter("n > 0").groupBy("digest").agg(F.first("n").alias("n"), F.first("sig").alias("sig"), F.min("id").alias("low"), F.min(F.struct("th", "id")).alias("one")))
     regions = cut(_neighbours(_orders(classes)))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gramsieve.llm import bpe, lshforest, mixing, quality
+from gramsieve.llm import bpe, lshforest, mixing, permutation, quality, sharding, warc
 from gramsieve.llm.common import table
 
 
@@ -71,6 +71,30 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = warc.archive(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    page = r"^<urn:page:(-?\d+)>$"
+    return records.select(
+        F.regexp_extract("record_id", page, 1).cast("long").alias("page_id"),
+        "payload_bytes",
+        "payload_digest",
+        "record_type",
+        F.when(F.col("refers_to").isNotNull(), F.regexp_extract("refers_to", page, 1).cast("long")).alias("refers_to"),
+    )
+
+
+OP4_SQL = """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS h FROM pages
+), t AS (
+  SELECT *, CASE WHEN strlen(h) >= 1000 THEN max(page_id) OVER (PARTITION BY h) ELSE page_id END AS top FROM p
+)
+SELECT page_id, CAST(strlen(h) AS BIGINT) AS payload_bytes, sha1(h) AS payload_digest,
+  CASE WHEN top = page_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN top <> page_id THEN top END AS refers_to
+FROM t
+"""
+
+
 def op5_lshforest(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return lshforest.near_duplicates(docs, words=4, percent=80)
@@ -100,11 +124,23 @@ GROUP BY d.doc_id, n.n
 """
 
 
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = sharding.assign(docs, 24)
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 8
+    crc = F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
+    return out.select("doc_id", size.alias("size"), crc.alias("text_crc32"), F.lit("key").alias("law"), "shard", "slot", "grown_shard")
+
+
+def op8_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return permutation.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def queries() -> dict:
     import corpus_pipeline
 
-    return {"op1_bpe": op1_bpe, "op2_quality": op2_quality, "op3_mixing": op3_mixing, "op5_lshforest": op5_lshforest, "pipeline": corpus_pipeline.run}
+    return {"op1_bpe": op1_bpe, "op2_quality": op2_quality, "op3_mixing": op3_mixing, "op4_warc": op4_warc, "op5_lshforest": op5_lshforest, "op6_sharding": op6_sharding, "op8_permutation": op8_permutation, "pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_quality": OP2_SQL, "op5_lshforest": OP5_SQL}
+    return {"op2_quality": OP2_SQL, "op4_warc": OP4_SQL, "op5_lshforest": OP5_SQL}
