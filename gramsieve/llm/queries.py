@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gramsieve.llm import bpe, lshforest, mixing, permutation, quality, sharding, warc
+from gramsieve.llm import bpe, lshforest, mixing, permutation, quality, sharding, suffixes, warc
 from gramsieve.llm.common import table
 
 
@@ -132,6 +132,14 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", size.alias("size"), crc.alias("text_crc32"), F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
+def op7_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffixes.repeated_passages(table(spark, sf_dir, "documents").select("doc_id", "text"), span=400)
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + x["e"] - x["s"])
+    return suffixes.without_spans(found).select(
+        "doc_id", F.length("content").cast("long").alias("n_bytes"), removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
 def op8_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return permutation.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
@@ -139,7 +147,7 @@ def op8_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     import corpus_pipeline
 
-    return {"op1_bpe": op1_bpe, "op2_quality": op2_quality, "op3_mixing": op3_mixing, "op4_warc": op4_warc, "op5_lshforest": op5_lshforest, "op6_sharding": op6_sharding, "op8_permutation": op8_permutation, "pipeline": corpus_pipeline.run}
+    return {"op1_bpe": op1_bpe, "op2_quality": op2_quality, "op3_mixing": op3_mixing, "op4_warc": op4_warc, "op5_lshforest": op5_lshforest, "op6_sharding": op6_sharding, "op7_suffixes": op7_suffixes, "op8_permutation": op8_permutation, "pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
