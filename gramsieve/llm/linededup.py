@@ -21,6 +21,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gramsieve.llm.common import cut, salted_lookup, without, words
 from gramsieve.shipping import ship
@@ -54,7 +55,7 @@ def _lines(df: DataFrame, doc_id: str, text: str) -> DataFrame:
     return x.select("id", _hash(F.col("tokens")).alias("m"), leaf.alias("leaf"), "tokens")
 
 
-@F.pandas_udf("array<boolean>")
+@F.pandas_udf(T.ArrayType(T.BooleanType()))
 def _outside(hashes: pd.Series, gone: pd.Series) -> pd.Series:
     """For each hash of a row whether it is none of the row's second list."""
     return pd.Series([None if g is None else ~np.isin(h, g) for h, g in zip(hashes, gone, strict=True)])
