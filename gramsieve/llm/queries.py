@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gramsieve.llm import bpe, linededup, lshforest, mixing, permutation, quality, sharding, suffixes, warc
+from gramsieve.llm import bpe, licences, linededup, lshforest, mixing, permutation, quality, sharding, suffixes, warc
 from gramsieve.llm.common import table
 
 
@@ -149,10 +149,16 @@ def op9_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.octet_length("text").cast("long").alias("kept_bytes"), F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents have no paths; a source is a directory here, and a language one below it."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string")).alias("path"))
+    return licences.scan(docs).select("doc_id", "path", "licence", "score", "line", "origin", "origin_dir")
+
+
 def queries() -> dict:
     import corpus_pipeline
 
-    return {"op1_bpe": op1_bpe, "op2_quality": op2_quality, "op3_mixing": op3_mixing, "op4_warc": op4_warc, "op5_lshforest": op5_lshforest, "op6_sharding": op6_sharding, "op7_suffixes": op7_suffixes, "op8_permutation": op8_permutation, "op9_linededup": op9_linededup, "pipeline": corpus_pipeline.run}
+    return {"op1_bpe": op1_bpe, "op2_quality": op2_quality, "op3_mixing": op3_mixing, "op4_warc": op4_warc, "op5_lshforest": op5_lshforest, "op6_sharding": op6_sharding, "op7_suffixes": op7_suffixes, "op8_permutation": op8_permutation, "op9_linededup": op9_linededup, "op10_licences": op10_licences, "pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
