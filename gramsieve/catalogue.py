@@ -1,4 +1,397 @@
-"""Query catalogue of the search engine."""
+"""Query catalogue of the search engine, each with the DuckDB SQL that gives the same rows."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from gramsieve.functions.grams import explode_grams, sparse_covering, trigrams
+from gramsieve.operators import budgets, search
+from gramsieve.operators.index import Index, bitmaps, posting_sizes
+from gramsieve.plans import planner
+from gramsieve.sources.corpus import Walk, ignored, keep_files, parse_name_status, parse_porcelain
+from gramsieve.streaming import delta
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+#: (table, id, text) of the corpora.
+DOCUMENTS, PAGES, CONVERSATIONS, BENCHMARK = ("documents", "doc_id", "text"), ("pages", "page_id", "html"), ("conversations", "conv_id", "text"), ("benchmark", "item_id", "text")
+
+
+def corpus(spark: SparkSession, sf_dir: str, which: tuple[str, str, str] = DOCUMENTS) -> DataFrame:
+    name, key, text = which
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(F.col(key).alias("path"), F.col(text).alias("text"))
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _matches_sql(pattern: str, source: str = "SELECT doc_id AS path, text FROM documents") -> str:
+    """Marks, splits and counts, as SQL; ``pattern`` in the oracle's dialect."""
+    p = pattern.replace("'", "''")
+    return f"""
+WITH c AS ({source}),
+s AS (SELECT path, string_split(regexp_replace(text, '({p})', chr(1) || '\\0' || chr(2), 'g'), chr(1)) AS seg FROM c WHERE regexp_matches(text, '{p}')),
+x AS (SELECT path, seg, unnest(range(2, len(seg) + 1)) AS k FROM s),
+y AS (SELECT path, string_split(seg[k], chr(2))[1] AS text, replace(array_to_string(seg[1:k-1], ''), chr(2), '') AS pre FROM x)
+SELECT path, CAST(len(pre) - len(replace(pre, chr(10), '')) + 1 AS BIGINT) AS line, CAST(strlen(string_split(pre, chr(10))[-1]) + 1 AS BIGINT) AS col, text FROM y
+"""
+
+
+def _scan(name: str, pattern: str, which=DOCUMENTS, sql_pattern: str | None = None) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return search.find_matches(corpus(spark, sf_dir, which), pattern)
+
+    run.__name__ = name
+    table, key, text = which
+    query(_matches_sql(sql_pattern or pattern, f"SELECT {key} AS path, {text} AS text FROM {table}"))(run)
+
+
+_scan("scan_matches_literal", "license")
+_scan("scan_matches_class", "[A-Z]{4,}")
+_scan("scan_matches_alternation", "Copyright|License")
+_scan("scan_matches_multiline", "(?m)^The [a-z]+")
+_scan("scan_matches_html", 'href="[^"]*"', PAGES)
+_scan("scan_matches_optional", "licen[sc]ed? under( the)?")
+_scan("scan_matches_folded", "(?i)version [0-9]")
+
+
+@query("SELECT doc_id AS path FROM documents WHERE regexp_matches(text, 'License|Copyright')")
+def matching_files(spark, sf_dir):
+    return search.matching_files(corpus(spark, sf_dir), "License|Copyright")
+
+
+@query("SELECT doc_id AS path, CAST(len(regexp_extract_all(text, 'the [a-z]+')) AS BIGINT) AS n FROM documents WHERE regexp_matches(text, 'the [a-z]+')")
+def match_count_per_file(spark, sf_dir):
+    return search.find_matches(corpus(spark, sf_dir), "the [a-z]+").groupBy("path").agg(F.count("*").alias("n"))
+
+
+@query("""SELECT count(*) AS files_scanned, CAST(sum(strlen(text)) AS BIGINT) AS bytes_scanned, count(*) FILTER (regexp_matches(text, '[A-Z]{4,}')) AS files_matched,
+  CAST(sum(len(regexp_extract_all(text, '[A-Z]{4,}'))) AS BIGINT) AS matches FROM documents""")
+def scan_stats(spark, sf_dir):
+    return search.scan_stats(corpus(spark, sf_dir), "[A-Z]{4,}")
+
+
+@query("""SELECT 'word' AS pattern, count(*) FILTER (regexp_matches(text, 'the')) AS files, CAST(sum(len(regexp_extract_all(text, 'the'))) AS BIGINT) AS matches FROM documents
+UNION ALL SELECT 'phone', count(*) FILTER (regexp_matches(text, '[0-9]{3}-[0-9]{4}')), CAST(sum(len(regexp_extract_all(text, '[0-9]{3}-[0-9]{4}'))) AS BIGINT) FROM documents
+UNION ALL SELECT 'licence', count(*) FILTER (regexp_matches(text, 'licen[cs]e|License')), CAST(sum(len(regexp_extract_all(text, 'licen[cs]e|License'))) AS BIGINT) FROM documents""")
+def scan_many(spark, sf_dir):
+    return search.scan_many(corpus(spark, sf_dir), {"word": "the", "phone": "[0-9]{3}-[0-9]{4}", "licence": "licen[cs]e|License"})
+
+
+@query("SELECT DISTINCT conv_id AS path FROM conversations WHERE regexp_matches(text, 'the|and')")
+def files_only_alternation(spark, sf_dir):
+    return search.matching_files(corpus(spark, sf_dir, CONVERSATIONS), "the|and").distinct()
+
+
+@query(f"SELECT path || ':' || line || ':' || col || ': ' || text AS line_out FROM ({_matches_sql('License')})")
+def printed_matches(spark, sf_dir):
+    return search.format_matches(search.find_matches(corpus(spark, sf_dir), "License"))
+
+
+# grams and index
+
+_TRIGRAMS = "SELECT DISTINCT {key} AS file_id, substr(h, 2 * i + 1, 6) AS gram FROM (SELECT {key}, hex(encode(text)) AS h, unnest(range(0, strlen(text) - 2)) AS i FROM {table})"
+_BENCH, _DOCS = _TRIGRAMS.format(key="item_id", table="benchmark"), _TRIGRAMS.format(key="doc_id", table="documents")
+
+
+def _postings(spark, sf_dir, which=BENCHMARK) -> DataFrame:
+    return explode_grams(corpus(spark, sf_dir, which), "path", "text")
+
+
+def _index(spark, sf_dir, which=DOCUMENTS) -> Index:
+    files = corpus(spark, sf_dir, which).select(F.col("path").alias("file_id"), "path")
+    return Index(files, _postings(spark, sf_dir, which))
+
+
+@query(_BENCH)
+def trigrams_of_doc(spark, sf_dir):
+    return _postings(spark, sf_dir).select("file_id", F.hex("gram").alias("gram"))
+
+
+@query(f"SELECT gram, count(*) AS df FROM ({_DOCS}) GROUP BY gram")
+def trigram_df(spark, sf_dir):
+    return _index(spark, sf_dir).grams.select(F.hex("gram").alias("gram"), "df")
+
+
+@query(f"SELECT gram, count(*) AS df, list_sort(list(file_id)) AS files FROM ({_BENCH}) GROUP BY gram")
+def inverted_index(spark, sf_dir):
+    g = _postings(spark, sf_dir).groupBy("gram").agg(F.count("*").alias("df"), F.sort_array(F.collect_list("file_id")).alias("files"))
+    return g.select(F.hex("gram").alias("gram"), "df", "files")
+
+
+def _hold(*words: str, how: str = "AND") -> str:
+    return f" {how} ".join(f"contains(text, '{w}')" for w in words)
+
+
+_L, _T = [trigrams(b"License")[i] for i in range(5)], trigrams(b"version")
+
+
+def _set_sql(grams: list[bytes], all_: bool) -> str:
+    names = ", ".join(f"'{g.hex().upper()}'" for g in grams)
+    return f"SELECT file_id FROM ({_DOCS}) WHERE gram IN ({names}) GROUP BY file_id HAVING count(*) >= {len(grams) if all_ else 1}"
+
+
+@query(_set_sql(_L, True))
+def candidates_and(spark, sf_dir):
+    return _index(spark, sf_dir).all_of(_L)
+
+
+@query(_set_sql(_T[:2], False))
+def candidates_or(spark, sf_dir):
+    return _index(spark, sf_dir).any_of(_T[:2])
+
+
+@query(f"{_set_sql(_L, True)} UNION {_set_sql(_T, True)}")
+def candidates_and_of_or(spark, sf_dir):
+    return _index(spark, sf_dir).candidates(planner.plan("License|version", planner.Override.TRIGRAM))
+
+
+@query("SELECT doc_id AS file_id FROM documents")
+def candidates_all(spark, sf_dir):
+    return _index(spark, sf_dir).candidates(planner.plan("[0-9]+"))
+
+
+def _indexed(spark, sf_dir, override=planner.Override.TRIGRAM):
+    c = corpus(spark, sf_dir).withColumn("file_id", F.col("path"))
+    return _index(spark, sf_dir).search(c, "Copyright|License", override)
+
+
+@query(_matches_sql("Copyright|License"))
+def indexed_search(spark, sf_dir):
+    return _indexed(spark, sf_dir)
+
+
+@query("SELECT doc_id AS path FROM documents WHERE regexp_matches(text, 'License')")
+def indexed_files(spark, sf_dir):
+    c = corpus(spark, sf_dir).withColumn("file_id", F.col("path"))
+    return _index(spark, sf_dir).search_files(c, "License", planner.Override.TRIGRAM)
+
+
+@query("SELECT CAST(NULL AS BIGINT) AS path, CAST(NULL AS BIGINT) AS line, CAST(NULL AS BIGINT) AS col, CAST(NULL AS VARCHAR) AS text WHERE false")
+def indexed_equals_scan(spark, sf_dir):
+    """Matches that only one of scan and indexed search has: none."""
+    a, b = search.find_matches(corpus(spark, sf_dir), "Copyright|License"), _indexed(spark, sf_dir)
+    return a.exceptAll(b).unionByName(b.exceptAll(a))
+
+
+def _two(spark, sf_dir):
+    i = _index(spark, sf_dir)
+    return i.all_of([b"the"]), i.all_of([b"and"])
+
+
+@query(f"{_set_sql([b'the'], True)} INTERSECT {_set_sql([b'and'], True)}")
+def posting_intersect(spark, sf_dir):
+    a, b = _two(spark, sf_dir)
+    return a.join(b, "file_id", "left_semi")
+
+
+@query(f"{_set_sql([b'the'], True)} UNION {_set_sql([b'and'], True)}")
+def posting_union(spark, sf_dir):
+    a, b = _two(spark, sf_dir)
+    return a.unionByName(b).distinct()
+
+
+@query(f"{_set_sql([b'the'], True)} EXCEPT {_set_sql([b'and'], True)}")
+def posting_difference(spark, sf_dir):
+    a, b = _two(spark, sf_dir)
+    return a.join(b, "file_id", "left_anti")
+
+
+@query(f"SELECT CAST(file_id // 32768 + 1 AS BIGINT) AS bucket, count(*) AS n FROM ({_DOCS}) WHERE gram = '746865' GROUP BY 1")
+def postings_bitmap(spark, sf_dir):
+    p = _postings(spark, sf_dir, DOCUMENTS).filter(F.col("gram") == F.lit(b"the"))
+    return bitmaps(p, ["gram"]).select("bucket", F.bitmap_count("bitmap").alias("n"))
+
+
+@query(f"""WITH d AS (SELECT list_sort(list(c)) AS l, count(*) AS n, avg(c) AS m, max(c) AS x, count(*) FILTER (c > 1000) AS o, count(*) FILTER (c > 10000) AS p FROM (SELECT gram, count(*) AS c FROM ({_DOCS}) GROUP BY gram))
+SELECT n AS ngram_count, m AS mean_df, l[n // 2 + 1] AS median_df, l[(n - 1) * 95 // 100 + 1] AS p95_df, l[(n - 1) * 99 // 100 + 1] AS p99_df, x AS max_df, o AS over_1000, p AS over_10000 FROM d""")
+def posting_stats(spark, sf_dir):
+    return _index(spark, sf_dir).stats()
+
+
+_VARLEN = "CASE WHEN {0} < 128 THEN 1 WHEN {0} < 16384 THEN 2 WHEN {0} < 2097152 THEN 3 WHEN {0} < 268435456 THEN 4 ELSE 5 END"
+
+
+@query(f"""WITH g AS (SELECT gram, file_id - lag(file_id, 1, 0) OVER (PARTITION BY gram ORDER BY file_id) AS gap FROM ({_BENCH}))
+SELECT gram, CAST(1 + {_VARLEN.format('count(*)')} + sum({_VARLEN.format('gap')}) AS BIGINT) AS varint_bytes FROM g GROUP BY gram""")
+def posting_bytes_varint(spark, sf_dir):
+    return posting_sizes(_postings(spark, sf_dir)).select(F.hex("gram").alias("gram"), "varint_bytes")
+
+
+@query(f"SELECT gram, CAST(5 + 4 * count(*) AS BIGINT) AS fixed_bytes FROM ({_BENCH}) GROUP BY gram")
+def posting_bytes_fixed(spark, sf_dir):
+    return posting_sizes(_postings(spark, sf_dir)).select(F.hex("gram").alias("gram"), "fixed_bytes")
+
+
+@query(f"SELECT gram, count(*) / (SELECT count(*) FROM benchmark) AS share FROM ({_BENCH}) GROUP BY gram")
+def ngram_selectivity(spark, sf_dir):
+    n = corpus(spark, sf_dir, BENCHMARK).agg(F.count("*").alias("n"))
+    g = _postings(spark, sf_dir).groupBy("gram").agg(F.count("*").alias("df"))
+    return g.join(n).select(F.hex("gram").alias("gram"), (F.col("df") / F.col("n")).alias("share"))
+
+
+_PLAIN = ("enum AgentMode", "license", "MAX_FILE_SIZE")
+
+
+@query(f"""SELECT p AS pattern, CAST(len(g) AS INTEGER) AS trigram_lookups, round(1.12 * len(g), 9) AS trigram_cost
+FROM (SELECT p, list_distinct(list_transform(range(1, len(p) - 1), lambda i: substr(p, i, 3))) AS g FROM (VALUES {', '.join(f"('{p}')" for p in _PLAIN)}) t(p))""")
+def plan_cost(spark, sf_dir):
+    return planner.diagnostics(spark, list(_PLAIN)).select("pattern", "trigram_lookups", F.round("trigram_cost", 9).alias("trigram_cost"))
+
+
+def _weights_sql(source: str) -> str:
+    """Sparse grams by definition: spans between two pairs that outweigh all pairs between them."""
+    return f"""p AS (SELECT id, h, i, md5(unhex(substr(h, 2 * i + 1, 4))) AS w FROM (SELECT id, h, unnest(range(0, len(h) // 2 - 1)) AS i FROM ({source}))),
+b AS (SELECT a.id, a.h, a.i, z.i AS j, a.w AS wa, z.w AS wz FROM p a JOIN p z ON a.id = z.id AND z.i >= a.i),
+ok AS (SELECT b.id, b.h, b.i, b.j FROM b LEFT JOIN p m ON m.id = b.id AND m.i > b.i AND m.i < b.j GROUP BY ALL HAVING b.j <= b.i + 1 OR max(m.w) < least(any_value(b.wa), any_value(b.wz)))"""
+
+
+@query(f"WITH {_weights_sql('SELECT item_id AS id, hex(encode(text[1:40])) AS h FROM benchmark')} SELECT id AS file_id, count(DISTINCT substr(h, 2 * i + 1, 2 * (j - i + 2))) AS n FROM ok GROUP BY id")
+def sparse_all_counts(spark, sf_dir):
+    """Sparse grams of the items' titles, their first 40 characters; all pairs of places are too many for SQL on whole texts."""
+    titles = corpus(spark, sf_dir, BENCHMARK).select("path", F.substring("text", 1, 40).alias("text"))
+    return explode_grams(titles, "path", "text", sparse=True).groupBy("file_id").agg(F.count("*").alias("n"))
+
+
+@query("SELECT CAST(NULL AS BIGINT) AS file_id, CAST(NULL AS VARCHAR) AS gram WHERE false")
+def sparse_covering_subset_check(spark, sf_dir):
+    """Covering grams of literals, repeated pairs among them, that a text with the literal lacks: none."""
+    words = ["the ", "ation", "----", "abababab", "    ", "=====", "License"]
+    texts = corpus(spark, sf_dir, BENCHMARK)
+    for w in words:
+        texts = texts.unionByName(texts.sparkSession.createDataFrame([(-len(w), f"x{w}y {w}{w}")], "path long, text string"))
+    need = spark.createDataFrame([(w, bytearray(g)) for w in words for g in sparse_covering(w.encode())], "word string, gram binary")
+    due = texts.join(need, F.contains("text", "word")).select(F.col("path").alias("file_id"), "gram").distinct()
+    return due.join(explode_grams(texts, "path", "text", sparse=True), ["file_id", "gram"], "left_anti").select("file_id", F.hex("gram").alias("gram"))
+
+
+# filters of a walk
+
+
+@query("SELECT page_id AS path FROM pages WHERE NOT contains(html, chr(0)) AND strlen(html) <= 1048576")
+def binary_filter(spark, sf_dir):
+    files = corpus(spark, sf_dir, PAGES).select("path", F.octet_length("text").alias("length"), F.col("text").cast("binary").alias("content"))
+    return keep_files(files, Walk(include_hidden=True)).select("path")
+
+
+@query("SELECT doc_id AS path, CAST(strlen(text) AS BIGINT) AS n_bytes FROM documents WHERE strlen(text) <= 1000")
+def size_filter(spark, sf_dir):
+    files = corpus(spark, sf_dir).select("path", F.octet_length("text").cast("long").alias("length"), F.col("text").cast("binary").alias("content"))
+    return keep_files(files, Walk(max_file_size=1000, include_hidden=True)).select("path", F.col("length").alias("n_bytes"))
+
+
+_PATHS = "CASE WHEN doc_id % 5 = 0 THEN '.cache/' ELSE 'src/' END || CASE WHEN doc_id % 7 = 0 THEN 'tmp/' ELSE '' END || doc_id || CASE WHEN doc_id % 3 = 0 THEN '.log' ELSE '.txt' END"
+
+
+@query(f"SELECT p AS path FROM (SELECT {_PATHS} AS p FROM documents) WHERE NOT regexp_matches(p, '(^|/)[.]')")
+def hidden_filter(spark, sf_dir):
+    files = spark.read.parquet(f"{sf_dir}/documents.parquet").selectExpr(f"{_PATHS} AS path", "0 AS length", "CAST('' AS BINARY) AS content")
+    return keep_files(files).select("path")
+
+
+@query(f"SELECT p AS path FROM (SELECT {_PATHS} AS p FROM documents) WHERE NOT (regexp_matches(p, '(^|/)tmp/') OR (regexp_matches(p, '[.]log$') AND NOT regexp_matches(p, '^src/[^/]*3[.]log$')))")
+def ignore_filter(spark, sf_dir):
+    files = spark.read.parquet(f"{sf_dir}/documents.parquet").selectExpr(f"{_PATHS} AS path")
+    return files.filter(~ignored(F.col("path"), [("", "# build"), ("", "*.log"), ("src", "!/*3.log"), ("", "tmp/")]))
+
+
+# changes over a base corpus
+
+_CHANGED = """SELECT doc_id AS path, text FROM documents WHERE doc_id % 10 > 1
+UNION ALL SELECT doc_id, text || chr(10) || 'FRESH_EDIT' FROM documents WHERE doc_id % 10 = 1
+UNION ALL SELECT doc_id + 1000000, text FROM documents WHERE doc_id % 10 = 2"""
+
+
+def _changes(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Every tenth document deleted, the next edited, the one after added again under another name; edits come twice."""
+    base = corpus(spark, sf_dir)
+    d = F.col("path") % 10
+    row = lambda op, path, text, seq: F.struct(F.lit(op).alias("op"), path.alias("path"), text.alias("text"), F.lit(seq).cast("long").alias("seq"))
+    p, t = F.col("path"), F.col("text")
+    none = F.lit(None).cast("string")
+    edit = F.array(row("M", p, F.lit("FRESH_EDIT early"), 1), row("M", p, F.concat(t, F.lit("\nFRESH_EDIT")), 2))
+    made = F.when(d == 0, F.array(row("D", p, none, 1))).when(d == 1, edit).when(d == 2, F.array(row("A", p + 1000000, t, 1)))
+    return base, base.select(F.inline(made))
+
+
+@query(_matches_sql("License|FRESH_EDIT", _CHANGED))
+def overlay_search(spark, sf_dir):
+    return delta.search(*_changes(spark, sf_dir), "License|FRESH_EDIT")
+
+
+@query(_matches_sql("License|FRESH_EDIT", _CHANGED))
+def overlay_search_indexed(spark, sf_dir):
+    base, changes = _changes(spark, sf_dir)
+    return delta.search_indexed(_index(spark, sf_dir), base.withColumn("file_id", F.col("path")), changes, "License|FRESH_EDIT")
+
+
+@query("SELECT doc_id AS path FROM documents WHERE doc_id % 10 = 0")
+def overlay_deleted(spark, sf_dir):
+    return delta.latest(_changes(spark, sf_dir)[1]).filter("op = 'D'").select("path")
+
+
+@query(f"SELECT path, count(*) AS n FROM ({_matches_sql('the', _CHANGED)}) WHERE path % 10 = 1 GROUP BY path")
+def overlay_modified_no_dup(spark, sf_dir):
+    return delta.search(*_changes(spark, sf_dir), "the").filter("path % 10 = 1").groupBy("path").agg(F.count("*").alias("n"))
+
+
+@query("""SELECT doc_id AS path, CASE doc_id % 10 WHEN 0 THEN 'Deleted' ELSE 'Modified' END AS status FROM documents WHERE doc_id % 10 < 2
+UNION ALL SELECT doc_id + 1000000, 'Added' FROM documents WHERE doc_id % 10 = 2""")
+def snapshot_diff(spark, sf_dir):
+    base, changes = _changes(spark, sf_dir)
+    return delta.diff(base, delta.merged(base, changes))
+
+
+_STATUS = (" M src/a.rs", "?? new file.txt", " D gone.rs", "A  added.rs", "R  old.rs -> new.rs", "MM both.rs")
+
+
+@query("""SELECT * FROM (VALUES ('src/a.rs', 'Modified'), ('new file.txt', 'Added'), ('gone.rs', 'Deleted'), ('added.rs', 'Added'), ('old.rs', 'Deleted'), ('new.rs', 'Added'), ('both.rs', 'Modified')) t(path, status)""")
+def porcelain_parse(spark, sf_dir):
+    return parse_porcelain(spark.createDataFrame([(x,) for x in _STATUS], "line string"))
+
+
+@query("SELECT * FROM (VALUES ('a b.rs', 'Added'), ('c.rs', 'Deleted'), ('d.rs', 'Modified'), ('e.rs', 'Modified')) t(path, status)")
+def name_status_parse(spark, sf_dir):
+    return parse_name_status(spark.createDataFrame([("A\ta b.rs",), ("D\tc.rs",), ("M\td.rs",), ("T\te.rs",)], "line string"))
+
+
+# reports
+
+
+@query("""SELECT * FROM (VALUES ('end/literal/p', 12.5, 'end.literal', 10.0, 'critical'), ('end/regex/q', 3.0, 'end.regex', 20.0, 'pass'), ('build/size', 30.0, 'build', 25.0, 'warning'), ('other/x', 99.0, NULL, NULL, 'unmapped'))
+t(bench, change_pct, key, allowed_pct, status)""")
+def budget_check(spark, sf_dir):
+    report = ["end/literal/p", "  time: [1 ms 2 ms 3 ms]", "  change: [+10.0% +12.5% +15.0%]", "end/regex/q  time: [1 ms 2 ms 3 ms] change: [+1% +3.0% +5%]", "build/size", "change: [+20% +30.0% +40%]", "other/x", "change: [+90% +99.0% +100%]"]
+    lines = spark.createDataFrame(list(enumerate(report)), "n int, line string")
+    toml = "[end.literal]\nregression_pct = 10\ncritical = true\n[end.regex]\ncritical = true\n[build]\nthroughput_regression_pct = 25\ncritical = false\n"
+    mapping = spark.createDataFrame([("end/literal/*", "end.literal", 0), ("end/*/q", "end.regex", 1), ("end/regex/*", "build", 2), ("build/*", "build", 3)], "glob string, key string, place int")
+    return budgets.check(budgets.parse_changes(lines), budgets.load_budgets(spark, toml), mapping)
+
+
+@query("""WITH m AS (SELECT 'License' AS pattern, count(*) FILTER (regexp_matches(text, 'License')) AS scan_files FROM documents UNION ALL SELECT 'license', count(*) FILTER (regexp_matches(text, 'license')) FROM documents)
+SELECT pattern, scan_files, scan_files AS index_files, false AS mismatch FROM m""")
+def speedup_summary(spark, sf_dir):
+    """Files by scan and by index for each pattern, and whether they differ; timings are bench.py's."""
+    index, c = _index(spark, sf_dir), corpus(spark, sf_dir).withColumn("file_id", F.col("path"))
+    parts = []
+    for p in ("License", "license"):
+        a = search.matching_files(c, p).agg(F.count("*").alias("scan_files"))
+        b = index.search_files(c, p, planner.Override.TRIGRAM).agg(F.count("*").alias("index_files"))
+        parts.append(a.join(b).select(F.lit(p).alias("pattern"), "scan_files", "index_files", (F.col("scan_files") != F.col("index_files")).alias("mismatch")))
+    return parts[0].unionByName(parts[1])
+
+
+@query("""SELECT doc_id AS path, CASE WHEN b >= 1048576 THEN printf('%.1f MB', floor(b / 104857.6 + 0.5) / 10) WHEN b >= 1024 THEN printf('%.1f KB', floor(b * 10 / 1024.0 + 0.5) / 10) ELSE b || ' B' END AS size FROM (SELECT doc_id, strlen(text) AS b FROM documents)""")
+def human_sizes(spark, sf_dir):
+    return corpus(spark, sf_dir).select("path", budgets.human_bytes(F.octet_length("text")).alias("size"))

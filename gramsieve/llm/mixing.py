@@ -194,3 +194,9 @@ def mix(df: DataFrame, size: Column | None = None, doc_id: str = "doc_id", sourc
     out = out.join(g, out[source].eqNullSafe(F.col("__gs")), "inner")
     out = out.withColumn("copies", F.col("__base") + F.col("__p").cast("long")).withColumn("size", F.col("__n"))
     return out.withColumn("taken", F.col("size") * F.col("copies")).drop("__n", "__bs", "__bd", "__bz", "__p", "__gs", "__base")
+
+
+def repeat(mixed: DataFrame, copies: str = "copies") -> DataFrame:
+    """Each document as often as the mix takes it; those taken no times go."""
+    name = "__copy"
+    return mixed.withColumn(name, F.explode(F.when(F.col(copies) > 0, F.sequence(F.lit(1), F.col(copies).cast("int"))))).drop(name)
