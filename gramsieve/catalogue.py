@@ -244,7 +244,7 @@ def ngram_selectivity(spark, sf_dir):
 _PLAIN = ("enum AgentMode", "license", "MAX_FILE_SIZE")
 
 
-@query(f"""SELECT p AS pattern, CAST(len(g) AS INTEGER) AS trigram_lookups, round(1.12 * len(g), 9) AS trigram_cost
+@query(f"""SELECT p AS pattern, CAST(len(g) AS INTEGER) AS trigram_lookups, CAST(round(1.12 * len(g), 9) AS DOUBLE) AS trigram_cost
 FROM (SELECT p, list_distinct(list_transform(range(1, len(p) - 1), lambda i: substr(p, i, 3))) AS g FROM (VALUES {', '.join(f"('{p}')" for p in _PLAIN)}) t(p))""")
 def plan_cost(spark, sf_dir):
     return planner.diagnostics(spark, list(_PLAIN)).select("pattern", "trigram_lookups", F.round("trigram_cost", 9).alias("trigram_cost"))
@@ -361,7 +361,7 @@ def name_status_parse(spark, sf_dir):
 # reports
 
 
-@query("""SELECT * FROM (VALUES ('end/literal/p', 12.5, 'end.literal', 10.0, 'critical'), ('end/regex/q', 3.0, 'end.regex', 20.0, 'pass'), ('build/size', 30.0, 'build', 25.0, 'warning'), ('other/x', 99.0, NULL, NULL, 'unmapped'))
+@query("""SELECT bench, CAST(change_pct AS DOUBLE) AS change_pct, key, CAST(allowed_pct AS DOUBLE) AS allowed_pct, status FROM (VALUES ('end/literal/p', 12.5, 'end.literal', 10.0, 'critical'), ('end/regex/q', 3.0, 'end.regex', 20.0, 'pass'), ('build/size', 30.0, 'build', 25.0, 'warning'), ('other/x', 99.0, NULL, NULL, 'unmapped'))
 t(bench, change_pct, key, allowed_pct, status)""")
 def budget_check(spark, sf_dir):
     report = ["end/literal/p", "  time: [1 ms 2 ms 3 ms]", "  change: [+10.0% +12.5% +15.0%]", "end/regex/q  time: [1 ms 2 ms 3 ms] change: [+1% +3.0% +5%]", "build/size", "change: [+20% +30.0% +40%]", "other/x", "change: [+90% +99.0% +100%]"]
