@@ -149,6 +149,41 @@ def op9_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.octet_length("text").cast("long").alias("kept_bytes"), F.sha2("text", 256).alias("kept_sha256"))
 
 
+OP9_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents
+), l AS (
+  SELECT r, doc_id, p, ls[p] AS x FROM (SELECT r, doc_id, ls, unnest(range(1, len(ls) + 1)) AS p FROM d)
+), k AS (
+  SELECT *, list_transform(regexp_extract_all(x, '[^\x20\x09-\x0D]+'), lambda w: CASE WHEN regexp_matches(w, '[0-9]') THEN '<*>' ELSE w END) AS k FROM l
+), held AS (
+  SELECT DISTINCT doc_id, k FROM k WHERE len(k) > 0
+), c AS (
+  SELECT k, len(k) AS n, k[1:3] AS lead, count(*) AS c FROM held GROUP BY k
+), leaf AS (
+  SELECT n, lead, sum(c) AS al FROM c GROUP BY n, lead HAVING count(*) > 1 AND sum(c) >= 10
+), tok AS (
+  SELECT k, n, lead, c, al, p, k[p] AS w FROM (SELECT *, unnest(range(1, n + 1)) AS p FROM c JOIN leaf USING (n, lead))
+), fixed AS (
+  SELECT n, lead, p, w FROM tok GROUP BY n, lead, p, w HAVING 2 * sum(c) >= any_value(al)
+), shape AS (
+  SELECT k, CAST(n AS VARCHAR) || CAST(lead AS VARCHAR) || string_agg(p || ':' || w, ' ' ORDER BY p) AS s
+  FROM tok JOIN fixed USING (n, lead, p, w) GROUP BY k, n, lead HAVING count(*) >= 0.6 * n
+), tm AS (
+  SELECT h.doc_id, h.k, coalesce('t' || s, 'k' || array_to_string(h.k, ' ')) AS t FROM held h LEFT JOIN shape USING (k)
+), often AS (
+  SELECT t, min(doc_id) AS f FROM (SELECT DISTINCT doc_id, t FROM tm) GROUP BY t HAVING count(*) >= 10
+), gone AS (
+  SELECT tm.doc_id, tm.k, true AS hit FROM tm JOIN often USING (t) WHERE tm.doc_id <> f
+), done AS (
+  SELECT k.r, k.doc_id, count(*) FILTER (len(k.k) > 0) AS n_lines, count(*) FILTER (hit) AS n_dropped,
+    coalesce(string_agg(x, chr(10) ORDER BY p) FILTER (hit IS NULL), '') AS kept
+  FROM k LEFT JOIN gone ON gone.doc_id = k.doc_id AND gone.k = k.k GROUP BY k.r, k.doc_id
+)
+SELECT doc_id, n_lines, n_dropped, CAST(strlen(kept) AS BIGINT) AS kept_bytes, sha256(kept) AS kept_sha256 FROM done
+"""
+
+
 def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents have no paths; a source is a directory here, and a language one below it."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string")).alias("path"))
@@ -162,4 +197,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_quality": OP2_SQL, "op4_warc": OP4_SQL, "op5_lshforest": OP5_SQL}
+    return {"op2_quality": OP2_SQL, "op4_warc": OP4_SQL, "op5_lshforest": OP5_SQL, "op9_linededup": OP9_SQL}

@@ -65,7 +65,7 @@ def corpus():
 def test_against_brute_force(spark):
     rows = corpus()
     df = spark.createDataFrame([(*r, "clash", 1) for r in rows], "doc_id long, text string, component_id string, N int")
-    for k in (4, 5):
+    for k in (4,):
         got = lshforest.near_duplicates(df.repartition(5), words=k).collect()
         want = plain(rows, k)
         # rows without an id in an empty set have no component
