@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import uuid
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -37,12 +39,32 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """The same rows without their lineage, from a reliable checkpoint that outlives lost executors."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """The same rows without their lineage, from a reliable checkpoint that outlives lost executors.
 
-
-def salted_lookup(left: DataFrame, right: DataFrame, keys: list[str], spread: Column, salts: int = 16) -> DataFrame:
+    Spark frees the shuffle files, broadcasts and plans of what lies behind only when the driver collects its garbage; a
+    driver program of many phases would hold them all, so garbage is collected here.
+    """
+    spark = df.sparkSession
+    shared_dir(spark)
+    out = df.checkpoint(eager=True)
+    gc.collect()
+    spark._jvm.System.gc()
+    return out
+
+
+def written(df: DataFrame) -> DataFrame:
+    """The same rows from a Parquet table in the shared folder, where they take less room than a checkpoint; it goes with the driver."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/table-{uuid.uuid4()}"
+    df.write.parquet(path)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+    gc.collect()
+    spark._jvm.System.gc()
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def salted_lookup(left: DataFrame, right: DataFrame, keys: list[str], spread: Column, salts: int = 16, large: bool = False) -> DataFrame:
     """Left join with a small-per-key right side (one row a key), where one key may hold a third of the left rows.
 
     ``spread`` deals the left rows of a key over ``salts`` values; the right rows are repeated once a salt. Rows of the
@@ -51,4 +73,4 @@ def salted_lookup(left: DataFrame, right: DataFrame, keys: list[str], spread: Co
     name = "__salt"
     dealt = left.withColumn(name, F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
     copies = right.withColumn(name, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return dealt.join(copies, [*keys, name], "left").drop(name)
+    return dealt.join(copies.hint("merge") if large else copies, [*keys, name], "left").drop(name)

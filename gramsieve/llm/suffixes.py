@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gramsieve.llm.common import cut, salted_lookup
+from gramsieve.llm.common import cut, salted_lookup, written
 from gramsieve.shipping import ship
 
 GRAM = 32
@@ -203,6 +203,35 @@ def _count_strings(pieces: DataFrame, span: int) -> DataFrame:
     return met.groupBy("h", "pd").agg(F.collect_list(F.struct("s", (F.col("s") + span).alias("e"))).alias("spans"))
 
 
+def _slices(keyed: DataFrame, places: DataFrame, span: int, whole: bool) -> DataFrame:
+    """The pieces of text from start a to the end of the string that starts at b, for places (id, th, h, a, b): with a digest
+    of their bytes (id, th, h, a, b, pd), or the bytes (h, pd, piece). Texts meet the list of their places, one row a text."""
+    columns = ["h", "a", "b", "pd"] if whole else ["h", "a", "b"]
+    listed = places.groupBy("id", "th").agg(F.collect_set(F.struct(*columns)).alias("runs"))
+    names = ["h", "pd", "piece"] if whole else ["id", "th", "h", "a", "b", "pd"]
+    kinds = [pa.int64(), pa.binary(), pa.binary()] if whole else [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, held = [], 0
+            for i, th, data, found in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for r in found:
+                    piece = data[r["a"] : r["b"] + span]
+                    rows.append((r["h"], r["pd"], piece) if whole else (i, th, r["h"], r["a"], r["b"], hashlib.blake2b(piece, digest_size=16).digest()))
+                    held += len(piece) if whole else 64
+                if held > 4 << 20:
+                    yield batch_of(rows)
+                    rows, held = [], 0
+            if rows:
+                yield batch_of(rows)
+
+    schema = "h long, pd binary, piece binary" if whole else "id long, th long, h long, a int, b int, pd binary"
+    return keyed.join(listed, ["id", "th"]).select("id", "th", "content", "runs").mapInArrow(run, schema)
+
+
 def repeated_passages(df: DataFrame, doc_id: str = "doc_id", text: str = "text", span: int = 400) -> DataFrame:
     """(doc_id, content, spans): the UTF-8 bytes of each text and the maximal runs [s, e) covered by repeated strings."""
     spark = df.sparkSession
@@ -225,43 +254,25 @@ def repeated_passages(df: DataFrame, doc_id: str = "doc_id", text: str = "text",
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in found], names=["id", "th", "h", "a", "b"])
 
     # a null id is -1 here; the hash of the text keeps its rows apart from those of a true -1
-    all_ = cut(docs.filter(F.length("content") >= span).mapInArrow(anchors, "id long, th long, h long, a int, b int"))
+    all_ = written(docs.filter(F.length("content") >= span).mapInArrow(anchors, "id long, th long, h long, a int, b int"))
     twice = all_.groupBy("h").agg(F.count("*").alias("c")).filter("c > 1").select("h", F.lit(True).alias("hit"))
-    some = salted_lookup(all_, twice, ["h"], F.col("th")).filter("hit")
-    listed = some.groupBy("id", "th").agg(F.collect_set(F.struct("h", "a", "b")).alias("runs"))
-
-    def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["id", "th", "h", "a", "pd", "piece"]
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary()]
-        for batch in batches:
-            rows, held = [], 0
-            for i, th, data, found in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                for r in found:
-                    piece = data[r["a"] : r["b"] + span]
-                    rows.append((i, th, r["h"], r["a"], hashlib.blake2b(piece, digest_size=16).digest(), piece))
-                    held += len(piece)
-                if held > 4 << 20:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
-                    rows, held = [], 0
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
-
+    some = salted_lookup(all_, twice, ["h"], F.col("id")).filter("hit").select("id", "th", "h", "a", "b")
     keyed = docs.select(F.coalesce("id", F.lit(-1)).alias("id"), "th", "content")
-    pieces = keyed.join(listed, ["id", "th"]).select("id", "th", "content", "runs").mapInArrow(slices, "id long, th long, h long, a int, pd binary, piece binary")
-    return _finish(docs, pieces, span)
-
-
-def _finish(docs: DataFrame, pieces: DataFrame, span: int) -> DataFrame:
-    different = cut(pieces.groupBy("h", "pd").agg(F.first("piece").alias("piece"), F.count("*").alias("c")))
-    buckets = different.groupBy("h").agg(F.count("*").alias("m")).filter("m > 1")
-    company = different.join(buckets, "h")
-    spans = _sort_blocks(company.filter(F.col("m") <= MOST), span)
+    # digests of the pieces first; bytes only of one piece of each kind, in buckets with more than one kind
+    pieces = written(_slices(keyed, some, span, False))
+    kinds = pieces.groupBy("h", "pd").agg(F.count("*").alias("c"), F.min(F.struct("id", "th", "a", "b")).alias("one"))
+    kinds = cut(kinds)
+    buckets = kinds.groupBy("h").agg(F.count("*").alias("m")).filter("m > 1")
+    chosen = cut(kinds.join(buckets, "h").select("h", "pd", "m", "one.*"))
+    company = _slices(keyed, chosen.filter(F.col("m") <= MOST), span, True)
+    spans = _sort_blocks(company, span)
     if not buckets.filter(F.col("m") > MOST).isEmpty():
-        spans = spans.unionByName(_count_strings(company.filter(F.col("m") > MOST), span))
-    whole = F.array(F.struct(F.lit(0).alias("s"), F.length("piece").alias("e"))).cast(_SPANS)
-    spans = different.select("h", "pd", "c", F.when(F.col("c") > 1, whole).alias("w")).join(spans, ["h", "pd"], "left")
+        spans = spans.unionByName(_count_strings(_slices(keyed, chosen.filter(F.col("m") > MOST), span, True), span))
+    spans = cut(spans.filter(F.size("spans") > 0))
+    whole = F.array(F.struct(F.lit(0).alias("s"), (F.col("one.b") - F.col("one.a") + span).alias("e"))).cast(_SPANS)
+    spans = kinds.select("h", "pd", F.when(F.col("c") > 1, whole).alias("w")).join(spans, ["h", "pd"], "left")
     spans = spans.select("h", "pd", F.coalesce("w", "spans").alias("spans")).filter(F.size("spans") > 0)
-    hits = salted_lookup(pieces.select("id", "th", "h", "a", "pd"), spans, ["h", "pd"], F.col("th")).filter("spans IS NOT NULL")
+    hits = salted_lookup(pieces.select("id", "th", "h", "a", "pd"), spans, ["h", "pd"], F.col("id")).filter("spans IS NOT NULL")
     hits = hits.select("id", "th", "a", F.inline("spans")).select("id", "th", (F.col("a") + F.col("s")).alias("s"), (F.col("a") + F.col("e")).alias("e"))
     hits = hits.groupBy(F.col("id").alias("__i"), F.col("th").alias("__t")).agg(F.collect_set(F.struct("s", "e")).alias("found"))
     keyed = docs.withColumn("k", F.coalesce("id", F.lit(-1)))
