@@ -61,6 +61,12 @@ def tokens(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return shingles.word_hashes(spaced), np.searchsorted(np.flatnonzero(b == 10), start)
 
 
+def present(terms: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Places of the terms that occur among the hashes."""
+    at = np.minimum(np.searchsorted(terms, h), len(terms) - 1)
+    return np.unique(at[terms[at] == h])
+
+
 class Model:
     """Template vectors over their own terms, by inverse document frequency."""
 
@@ -96,11 +102,15 @@ class Model:
         np.add.at(dots, unit[known], value[known, None] * self.vectors[at[known]])
         return some, dots / norm[:, None]
 
-    def scan(self, data: bytes) -> tuple[str | None, float, int]:
-        """The best licence, its score and line (from 1)."""
+    def scan(self, data: bytes, least: float = LEAST) -> tuple[str | None, float, int]:
+        """The best licence, its score and line (from 1), if a window can reach ``least`` at all.
+
+        A window's cosine to a template is at most the norm of the template over the terms that the window holds, so a text
+        whose terms together hold less of every template has no window to score.
+        """
         h, line = tokens(data)
         best = (None, 0.0, 0)
-        if not len(h):
+        if np.sqrt((self.vectors[present(self.terms, h)] ** 2).sum(axis=0)).max() < least - 1e-9:
             return best
         for width in (1, WINDOW):
             unit = np.concatenate([line - o for o in range(width)])
@@ -127,7 +137,7 @@ def frequencies(df: DataFrame, text: str) -> tuple[dict[int, int], int]:
             for x in batch.column(0).to_pylist():
                 n += 1
                 if x:
-                    count += np.isin(terms, tokens(x.encode())[0])
+                    count[present(terms, tokens(x.encode())[0])] += 1
         yield pa.RecordBatch.from_arrays([pa.array(np.append(terms.view(np.int64), 0)), pa.array(np.append(count, n)), pa.array([False] * len(terms) + [True])], names=["term", "n", "total"])
 
     rows = df.select(F.col(text).cast("string")).mapInArrow(run, "term long, n long, total boolean").groupBy("term", "total").agg(F.sum("n").alias("n")).collect()
@@ -147,7 +157,7 @@ def scan(df: DataFrame, path: str = "path", text: str = "text", least: float = L
         for whole in batches:
             for at in range(0, whole.num_rows, 1024):
                 batch = whole.slice(at, 1024)
-                found = [model.scan((x or "").encode()) for x in batch.column(names.index(text)).to_pylist()]
+                found = [model.scan((x or "").encode(), least) for x in batch.column(names.index(text)).to_pylist()]
                 hit = [f[1] >= least for f in found]
                 columns = [[f[0] if ok else None for f, ok in zip(found, hit)], [f[1] if ok else None for f, ok in zip(found, hit)], [f[2] if ok else None for f, ok in zip(found, hit)]]
                 arrays = [pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.float64(), pa.int32()))]
