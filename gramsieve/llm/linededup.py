@@ -71,7 +71,7 @@ def templates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", min_doc
     n = some.count()
     if not n:
         return held, some.select("m", F.col("m").alias("t")), 0
-    found = _near(lines.select("m", "leaf", "tokens"), some, ["m"], F.rand(1), n).filter("c IS NOT NULL").dropDuplicates(["m"])
+    found = _near(lines, some, ["m"], F.col("id"), n).filter("c IS NOT NULL").dropDuplicates(["m"])
     tokens = cut(found.select("m", "leaf", "c", "all", F.size("tokens").alias("size"), F.posexplode("tokens").alias("pos", "token")).withColumn("token", F.xxhash64("token")))
     constant = tokens.groupBy("leaf", "pos", "token").agg(F.sum("c").alias("w"), F.first("all").alias("all")).filter("2 * w >= all").select("leaf", "pos", "token", F.lit(True).alias("fixed"))
     met = salted_lookup(tokens, constant, ["leaf", "pos", "token"], F.col("m")).filter("fixed")
