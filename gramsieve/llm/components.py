@@ -8,28 +8,31 @@ from pyspark.sql import functions as F
 from gramsieve.llm.common import cut, salted_lookup
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """Each node's larger (or, small star, its smaller) neighbours are linked to the smallest neighbour."""
-    if large:
-        both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    else:
-        both = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("low"))
-    met = salted_lookup(both, low, ["u"], F.col("v"))
-    moved = met.filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("low").alias("v")) if large else met.select(F.col("v").alias("u"), F.col("low").alias("v")).unionByName(low.select("u", F.col("low").alias("v")))
-    return moved.filter(F.col("u") != F.col("v")).distinct()
+def _large_star(edges: DataFrame) -> DataFrame:
+    """Each node's larger neighbours are linked to the smallest of the node and its neighbours."""
+    both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    low = both.groupBy("u").agg(F.min("v").alias("low"))
+    met = salted_lookup(both.filter("v > u"), low, ["u"], F.col("v"), large=True)
+    return met.select(F.col("v").alias("u"), F.least("low", "u").alias("v"))
+
+
+def _small_star(edges: DataFrame) -> DataFrame:
+    """Each node and its smaller neighbours are linked to the smallest neighbour."""
+    edges = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct()
+    low = edges.groupBy("u").agg(F.min("v").alias("low"))
+    met = salted_lookup(edges, low, ["u"], F.col("v"), large=True).select(F.col("v").alias("u"), F.col("low").alias("v"))
+    return met.filter("u <> v").unionByName(low.select("u", F.col("low").alias("v"))).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
     """From links (u, v) in any order: (node, component), the smallest node reachable, for every node of a link."""
-    now = cut(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct())
-    mark = None
+    now = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v")
     while True:
-        # stars are done when no round changes a link
-        seen = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).head()
-        if tuple(seen) == mark:
+        now = cut(_small_star(_large_star(now)))
+        # it is done when all links lead to nodes that lead nowhere: no node is both ends' start and another's end
+        deep = now.select(F.col("v").alias("n")).distinct().join(now.select(F.col("u").alias("n")).distinct().hint("merge"), "n", "left_semi")
+        twice = now.groupBy("u").agg(F.count("*").alias("c")).filter("c > 1").select(F.col("u").alias("n"))
+        if deep.unionByName(twice).isEmpty():
             break
-        mark = tuple(seen)
-        now = cut(_star(_star(now, True), False))
     leaves = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return leaves.unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from gramsieve.llm.common import cut, salted_lookup
+from gramsieve.llm.common import cut, salted_lookup, without
 from gramsieve.llm.components import components
 from gramsieve.llm.shingles import mixed, shingle_set
 from gramsieve.shipping import ship
@@ -54,8 +54,9 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _digest(found: np.ndarray) -> bytes | None:
-    return hashlib.blake2b(found.tobytes(), digest_size=16).digest() if len(found) else None
+def _digest(found: np.ndarray) -> int | None:
+    """The class of a set: 64 bits of a cryptographic hash, so 10**9 different sets hold a false match with odds of 3 %."""
+    return int.from_bytes(hashlib.blake2b(found.tobytes(), digest_size=8).digest(), "little", signed=True) if len(found) else None
 
 
 def sketch(df: DataFrame, doc_id: str, text: str, words: int) -> DataFrame:
@@ -83,10 +84,10 @@ def sketch(df: DataFrame, doc_id: str, text: str, words: int) -> DataFrame:
                     for i, s in zip(rows, signatures(sets), strict=True):
                         sigs[i] = s.tobytes()
                 own = batch.slice(begin, at - begin)
-                yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(sigs, pa.binary())], names=["id", "th", "n", "digest", "sig"])
+                yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), pa.array(sizes, pa.int64()), pa.array(digests, pa.int64()), pa.array(sigs, pa.binary())], names=["id", "th", "n", "digest", "sig"])
 
     content = F.col(text).cast("string")
-    return df.select(F.col(doc_id).cast("long").alias("id"), F.xxhash64(content).alias("th"), content.alias("text")).mapInArrow(run, "id long, th long, n long, digest binary, sig binary")
+    return df.select(F.col(doc_id).cast("long").alias("id"), F.xxhash64(content).alias("th"), content.alias("text")).mapInArrow(run, "id long, th long, n long, digest long, sig binary")
 
 
 def _orders(classes: DataFrame) -> DataFrame:
@@ -108,14 +109,14 @@ def _orders(classes: DataFrame) -> DataFrame:
                         [pa.array(np.full(n, t, np.int32)), pa.array(key.view(np.int64)), pa.array([r.tobytes() for r in below], pa.binary()), batch.column(0)], names=["t", "key", "below", "digest"]
                     )
 
-    return classes.select("digest", "sig").mapInArrow(run, "t int, key long, below binary, digest binary")
+    return classes.select("digest", "sig").mapInArrow(run, "t int, key long, below binary, digest long")
 
 
 def _neighbours(orders: DataFrame) -> DataFrame:
     """Rows whose region holds another row, with the one before them in the order, if it is of the same region."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.schema([("t", pa.int32()), ("key", pa.int64()), ("below", pa.binary()), ("digest", pa.binary()), ("before", pa.binary()), ("seam", pa.bool_())])
+        kind = pa.schema([("t", pa.int32()), ("key", pa.int64()), ("below", pa.binary()), ("digest", pa.int64()), ("before", pa.int64()), ("seam", pa.bool_())])
         last = None  # the row before, not given out yet
         first = True
 
@@ -137,7 +138,7 @@ def _neighbours(orders: DataFrame) -> DataFrame:
 
     order = ["t", "key", "below", "digest"]
     dealt = orders.repartitionByRange(*order).sortWithinPartitions(*order)
-    found = cut(dealt.mapInArrow(run, "t int, key long, below binary, digest binary, before binary, seam boolean"))
+    found = cut(dealt.mapInArrow(run, "t int, key long, below binary, digest long, before long, seam boolean"))
     # two rows a partition at most: the last of one and the first of the next
     w = W.orderBy(*order)
     seams = found.filter("seam").withColumns({"pt": F.lag("t").over(w), "pk": F.lag("key").over(w), "pd": F.lag("digest").over(w)})
@@ -161,9 +162,9 @@ def _alike(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
         return pd.Series(out)
 
     c = classes.select("digest", "n", "sig")
-    near = pairs.join(c.select(F.col("digest").alias("u"), F.col("n").alias("nu")), "u").join(c.select(F.col("digest").alias("v"), F.col("n").alias("nv")), "v")
+    near = pairs.join(c.select(F.col("digest").alias("u"), F.col("n").alias("nu"), F.col("sig").alias("su")).hint("merge"), "u")
+    near = near.join(c.select(F.col("digest").alias("v"), F.col("n").alias("nv"), F.col("sig").alias("sv")).hint("merge"), "v")
     near = near.filter((F.least("nu", "nv") >= F.lit(threshold - 1e-9) * F.greatest("nu", "nv")))
-    near = near.join(c.select(F.col("digest").alias("u"), F.col("sig").alias("su")), "u").join(c.select(F.col("digest").alias("v"), F.col("sig").alias("sv")), "v")
     return near.withColumn("share", agreement("su", "sv")).select("u", "v", "share").filter(F.col("share") >= threshold - SLACK)
 
 
@@ -178,8 +179,8 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             out.append(100 * both >= percent * (len(a) + len(b) - both))
         return pd.Series(out, dtype=bool)
 
-    met = pairs.select("u", "v").join(sets.select(F.col("digest").alias("u"), F.col("hashes").alias("su")), "u")
-    met = met.join(sets.select(F.col("digest").alias("v"), F.col("hashes").alias("sv")), "v")
+    met = pairs.select("u", "v").join(sets.select(F.col("digest").alias("u"), F.col("hashes").alias("su")).hint("merge"), "u")
+    met = met.join(sets.select(F.col("digest").alias("v"), F.col("hashes").alias("sv")).hint("merge"), "v")
     return met.filter(linked("su", "sv")).select("u", "v")
 
 
@@ -192,35 +193,46 @@ def _sets(texts: DataFrame, words: int) -> DataFrame:
                 batch = whole.slice(at, 256)
                 found = [(d, shingle_set((x or "").encode(), words)) for d, x in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
                 found = [(d, x.tobytes()) for d, x in found if _digest(x) == d]
-                yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in found], pa.binary()), pa.array([x for _, x in found], pa.binary())], names=["digest", "hashes"])
+                yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in found], pa.int64()), pa.array([x for _, x in found], pa.binary())], names=["digest", "hashes"])
 
-    return texts.mapInArrow(run, "digest binary, hashes binary")
+    return texts.mapInArrow(run, "digest long, hashes binary")
 
 
 def _across(regions: DataFrame, parts: DataFrame) -> DataFrame:
     """Pairs across components in each region: rows outside its largest component against all rows of other components."""
-    placed = salted_lookup(regions.select("t", "key", "digest"), parts.withColumnRenamed("node", "digest"), ["digest"], F.col("key"), 4)
+    placed = salted_lookup(regions.select("t", "key", "digest"), parts.withColumnRenamed("node", "digest"), ["digest"], F.col("key"), 4, large=True)
     placed = placed.withColumn("component", F.coalesce("component", "digest"))
     many = placed.groupBy("t", "key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("t", "key")
-    placed = cut(placed.join(many, ["t", "key"], "left_semi"))
+    placed = cut(placed.join(many.hint("merge"), ["t", "key"], "left_semi"))
     counted = placed.groupBy("t", "key", "component").agg(F.count("*").alias("c"))
     main = counted.groupBy("t", "key").agg(F.max_by("component", F.struct("c", "component")).alias("main"))
-    marked = placed.join(main, ["t", "key"])
+    marked = placed.join(main.hint("merge"), ["t", "key"])
     few = marked.filter("component <> main").select("t", "key", F.col("digest").alias("a"), F.col("component").alias("ca"))
     all_ = marked.select("t", "key", F.col("digest").alias("b"), F.col("component").alias("cb"), (F.col("component") == F.col("main")).alias("in_main"))
-    met = few.join(all_, ["t", "key"]).filter("ca <> cb AND (in_main OR a > b)")
+    met = few.hint("merge").join(all_, ["t", "key"]).filter("ca <> cb AND (in_main OR a > b)")
     return met.select(*_pairs("a", "b")).distinct()
 
 
-def _split(pairs: DataFrame, parts: DataFrame) -> DataFrame:
-    """The pairs that lie across components, with the components as cu and cv."""
-    p = pairs.join(parts.select(F.col("node").alias("u"), F.col("component").alias("x")), "u", "left").join(parts.select(F.col("node").alias("v"), F.col("component").alias("y")), "v", "left")
-    p = p.withColumns({"x": F.coalesce("x", "u"), "y": F.coalesce("y", "v")}).filter("x <> y")
-    return p.withColumns({"cu": F.greatest("x", "y"), "cv": F.least("x", "y")}).drop("x", "y")
-
-
 def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
     """One row a document: ``doc_id``, ``n_shingles``, ``component_id`` and ``kept`` (its id is the component's)."""
+    return _placed(df, doc_id, text, words, percent).drop("th")
+
+
+def keep_one(df: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
+    """The documents with one row of each group of near duplicates, that with the smallest id; texts without words all stay.
+
+    Rows equal in id and text are one document. If rows of a group share the smallest id, the one with the least text hash stays.
+    """
+    df = without(df, ["__th", "__kd", "__kt"])
+    placed = _placed(df, doc_id, text, words, percent).filter("kept")
+    one = placed.filter("n_shingles > 0").groupBy("component_id").agg(F.min("th").alias("__kt")).select(F.col("component_id").alias("__kd"), "__kt")
+    one = one.unionByName(placed.filter("n_shingles = 0").select(F.col("doc_id").alias("__kd"), F.col("th").alias("__kt")).distinct())
+    keyed = df.withColumn("__th", F.xxhash64(F.col(text).cast("string")))
+    met = keyed.join(one.hint("merge"), keyed[doc_id].cast("long").eqNullSafe(F.col("__kd")) & (F.col("__th") == F.col("__kt")))
+    return met.dropDuplicates(["__kd", "__kt"]).drop("__th", "__kd", "__kt")
+
+
+def _placed(df: DataFrame, doc_id: str, text: str, words: int, percent: int) -> DataFrame:
     ship(df.sparkSession)
     seen = cut(sketch(df, doc_id, text, words))
     classes = cut(seen.filter("n > 0").groupBy("digest").agg(F.first("n").alias("n"), F.first("sig").alias("sig"), F.min("id").alias("low"), F.min(F.struct("th", "id")).alias("one")))
@@ -230,28 +242,23 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", w
     first = regions.filter((F.col("t") < FIRST) & F.col("before").isNotNull()).select(*_pairs("digest", "before")).distinct()
     first = cut(_alike(first, classes, threshold))
     # whole sets are made for texts of regions with company alone, one text a class
-    some = regions.select("digest").distinct().join(classes.select("digest", F.col("one.th").alias("__h"), F.col("one.id").alias("__i")), "digest")
+    some = regions.select("digest").distinct().join(classes.select("digest", F.col("one.th").alias("__h"), F.col("one.id").alias("__i")).hint("merge"), "digest")
     content = F.col(text).cast("string")
     texts = df.select(F.col(doc_id).cast("long").alias("__id"), F.xxhash64(content).alias("__th"), content.alias("__text"))
-    texts = some.join(texts, (F.col("__h") == F.col("__th")) & F.col("__i").eqNullSafe(F.col("__id"))).select("digest", "__text")
+    texts = some.hint("merge").join(texts, (F.col("__h") == F.col("__th")) & F.col("__i").eqNullSafe(F.col("__id"))).select("digest", "__text")
     sets = cut(_sets(texts, words).dropDuplicates(["digest"]))
 
     links = cut(_confirm(first, sets, percent))
-    parts = cut(components(links))
+    parts = components(links)
     open_ = cut(_alike(_across(regions, parts), classes, threshold))
     # pairs already confirmed or refuted are not tried again
-    open_ = cut(open_.join(first.select("u", "v"), ["u", "v"], "left_anti"))
-    best = _split(open_, parts).groupBy("cu", "cv").agg(F.max_by(F.struct("u", "v"), F.struct("share", "u", "v")).alias("p")).select("p.*")
-    best = cut(best)
-    links = links.unionByName(_confirm(best, sets, percent))
-    parts = cut(components(cut(links)))
-    rest = _split(open_.join(best, ["u", "v"], "left_anti"), parts)
-    links = cut(links.unionByName(_confirm(rest, sets, percent)))
+    open_ = cut(open_.join(first.select("u", "v").hint("merge"), ["u", "v"], "left_anti"))
+    links = cut(links.unionByName(_confirm(open_, sets, percent)))
     parts = components(links)
 
-    low = classes.join(parts, classes["digest"] == parts["node"], "left").select("digest", F.coalesce("component", "digest").alias("component"), "low")
+    low = classes.join(parts.hint("merge"), classes["digest"] == parts["node"], "left").select("digest", F.coalesce("component", "digest").alias("component"), "low")
     lowest = low.groupBy("component").agg(F.min("low").alias("component_id"))
-    named = salted_lookup(low, lowest, ["component"], F.col("digest")).select("digest", "component_id")
-    out = salted_lookup(seen.select("id", "n", "digest"), named, ["digest"], F.col("id"))
+    named = salted_lookup(low, lowest, ["component"], F.col("digest"), large=True).select("digest", "component_id")
+    out = salted_lookup(seen.select("id", "th", "n", "digest"), named, ["digest"], F.col("id"), large=True)
     component = F.when(F.col("digest").isNull(), F.col("id")).otherwise(F.col("component_id"))
-    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
+    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"), "th")
