@@ -61,7 +61,16 @@ def written(df: DataFrame) -> DataFrame:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
     gc.collect()
     spark._jvm.System.gc()
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes a table of ``written`` that nothing will read again."""
+    spark = df.sparkSession
+    at = spark._jvm.org.apache.hadoop.fs.Path(df._written)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def salted_lookup(left: DataFrame, right: DataFrame, keys: list[str], spread: Column, salts: int = 16, large: bool = False) -> DataFrame:
