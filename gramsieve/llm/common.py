@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
 import gc
 import tempfile
 import uuid
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,39 +39,41 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The same rows without their lineage, from a reliable checkpoint that outlives lost executors.
+#: Paths of tables that open scratches hold.
+_HELD: list[list[str]] = []
 
-    Spark frees the shuffle files, broadcasts and plans of what lies behind only when the driver collects its garbage; a
-    driver program of many phases would hold them all, so garbage is collected here.
-    """
-    spark = df.sparkSession
-    shared_dir(spark)
-    out = df.checkpoint(eager=True)
-    gc.collect()
-    spark._jvm.System.gc()
-    return out
 
+def cut(df: DataFrame, keep: bool = False) -> DataFrame:
+    """The same rows without their lineage, from a Parquet table in the shared folder, which outlives lost executors.
 
-def written(df: DataFrame) -> DataFrame:
-    """The same rows from a Parquet table in the shared folder, where they take less room than a checkpoint; it goes with the driver."""
+    One job writes it, where a checkpoint would run the last stage twice. The table goes with the scratch around the call,
+    or, without one or with ``keep``, with the driver. Spark frees the shuffle files and broadcasts of what lies behind only
+    when the driver collects its garbage; a driver program of many phases would hold them all, so garbage is collected here.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/table-{uuid.uuid4()}"
     df.write.parquet(path)
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+    _file_system(spark, path).deleteOnExit(spark._jvm.org.apache.hadoop.fs.Path(path))
+    if _HELD and not keep:
+        _HELD[-1].append(path)
     gc.collect()
     spark._jvm.System.gc()
-    out = spark.read.schema(df.schema).parquet(path)
-    out._written = path
-    return out
+    return spark.read.schema(df.schema).parquet(path)
 
 
-def discard(df: DataFrame) -> None:
-    """Deletes a table of ``written`` that nothing will read again."""
-    spark = df.sparkSession
-    at = spark._jvm.org.apache.hadoop.fs.Path(df._written)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+def _file_system(spark: SparkSession, path: str):
+    return spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes the tables that ``cut`` writes inside, at the end; nothing lazy may leave the block but over kept tables."""
+    _HELD.append([])
+    try:
+        yield
+    finally:
+        for path in _HELD.pop():
+            _file_system(spark, path).delete(spark._jvm.org.apache.hadoop.fs.Path(path), True)
 
 
 def salted_lookup(left: DataFrame, right: DataFrame, keys: list[str], spread: Column, salts: int = 16, large: bool = False) -> DataFrame:

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from gramsieve.llm.common import cut, salted_lookup, without
+from gramsieve.llm.common import cut, salted_lookup, scratch, without
 from gramsieve.llm.components import components
 from gramsieve.llm.shingles import mixed, shingle_set
 from gramsieve.shipping import ship
@@ -233,6 +233,12 @@ def keep_one(df: DataFrame, doc_id: str = "doc_id", text: str = "text", words: i
 
 
 def _placed(df: DataFrame, doc_id: str, text: str, words: int, percent: int) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept, th) as a table; all tables on the way are deleted."""
+    with scratch(df.sparkSession):
+        return cut(_place(df, doc_id, text, words, percent), keep=True)
+
+
+def _place(df: DataFrame, doc_id: str, text: str, words: int, percent: int) -> DataFrame:
     ship(df.sparkSession)
     seen = cut(sketch(df, doc_id, text, words))
     classes = cut(seen.filter("n > 0").groupBy("digest").agg(F.first("n").alias("n"), F.first("sig").alias("sig"), F.min("id").alias("low"), F.min(F.struct("th", "id")).alias("one")))

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gramsieve.llm.common import discard, salted_lookup, written
+from gramsieve.llm.common import cut, salted_lookup, scratch
 from gramsieve.shipping import ship
 
 GRAM = 32
@@ -254,23 +254,23 @@ def repeated_passages(df: DataFrame, doc_id: str = "doc_id", text: str = "text",
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in found], names=["id", "th", "h", "a", "b"])
 
     # a null id is -1 here; the hash of the text keeps its rows apart from those of a true -1
-    all_ = written(docs.filter(F.length("content") >= span).mapInArrow(anchors, "id long, th long, h long, a int, b int"))
-    twice = all_.groupBy("h").agg(F.count("*").alias("c")).filter("c > 1").select("h", F.lit(True).alias("hit"))
-    some = salted_lookup(all_, twice, ["h"], F.col("id")).filter("hit").select("id", "th", "h", "a", "b")
-    keyed = docs.select(F.coalesce("id", F.lit(-1)).alias("id"), "th", "content")
-    # digests of the pieces first; bytes only of one piece of each kind, in buckets with more than one kind
-    pieces = written(_slices(keyed, some, span, False))
-    discard(all_)
+    with scratch(spark):
+        all_ = cut(docs.filter(F.length("content") >= span).mapInArrow(anchors, "id long, th long, h long, a int, b int"))
+        twice = all_.groupBy("h").agg(F.count("*").alias("c")).filter("c > 1").select("h", F.lit(True).alias("hit"))
+        some = salted_lookup(all_, twice, ["h"], F.col("id")).filter("hit").select("id", "th", "h", "a", "b")
+        keyed = docs.select(F.coalesce("id", F.lit(-1)).alias("id"), "th", "content")
+        # digests of the pieces first; bytes only of one piece of each kind, in buckets with more than one kind
+        pieces = cut(_slices(keyed, some, span, False), keep=True)
     kinds = pieces.groupBy("h", "pd").agg(F.count("*").alias("c"), F.min(F.struct("id", "th", "a", "b")).alias("one"))
-    kinds = written(kinds)
-    buckets = kinds.groupBy("h").agg(F.count("*").alias("m")).filter("m > 1")
-    chosen = written(kinds.join(buckets, "h").select("h", "pd", "m", "one.*"))
-    company = _slices(keyed, chosen.filter(F.col("m") <= MOST), span, True)
-    spans = _sort_blocks(company, span)
-    if not buckets.filter(F.col("m") > MOST).isEmpty():
-        spans = spans.unionByName(_count_strings(_slices(keyed, chosen.filter(F.col("m") > MOST), span, True), span))
-    spans = written(spans.filter(F.size("spans") > 0))
-    discard(chosen)
+    kinds = cut(kinds, keep=True)
+    with scratch(spark):
+        buckets = kinds.groupBy("h").agg(F.count("*").alias("m")).filter("m > 1")
+        chosen = cut(kinds.join(buckets, "h").select("h", "pd", "m", "one.*"))
+        company = _slices(keyed, chosen.filter(F.col("m") <= MOST), span, True)
+        spans = _sort_blocks(company, span)
+        if not buckets.filter(F.col("m") > MOST).isEmpty():
+            spans = spans.unionByName(_count_strings(_slices(keyed, chosen.filter(F.col("m") > MOST), span, True), span))
+        spans = cut(spans.filter(F.size("spans") > 0), keep=True)
     whole = F.array(F.struct(F.lit(0).alias("s"), (F.col("one.b") - F.col("one.a") + span).alias("e"))).cast(_SPANS)
     spans = kinds.select("h", "pd", F.when(F.col("c") > 1, whole).alias("w")).join(spans, ["h", "pd"], "left")
     spans = spans.select("h", "pd", F.coalesce("w", "spans").alias("spans")).filter(F.size("spans") > 0)
