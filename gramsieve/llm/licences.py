@@ -3,14 +3,17 @@
 Every window of one line and of ``WINDOW`` lines of a text is a candidate header; the whole text is one too, and a file named
 as a licence file speaks for its directory. Tokens are runs of ASCII letters and
 digits or bytes of other scripts, lower-cased. Inverse document frequencies of the templates' terms come from all documents;
-terms that no template holds count with the frequency of none. Only windows that share a term with a template are scored, as
-the others have cosine 0.
+terms that no template holds count with the frequency of none. Only windows whose terms can reach the threshold are scored.
+
+A window speaks for the template that it is closest to, of which it holds two terms or all, and says nothing if that is a wording without a licence's name. Of
+the windows that speak, those naming a licence come before those naming a family without its version, and both before a
+reservation of all rights.
 
 A file without a licence of its own takes that of the nearest directory above it that has one. Directories and not files are
 joined with their ancestors; files then look up their directory with salted keys, as one may hold a third of all files.
 
 Defined results: null and empty texts have no licence of their own; a null path lies in no directory and inherits nothing;
-ties go to the first template in order of name, then to the first line, and in a directory to the best score, then the least
+ties of a window go to the first template in order of name, ties of windows likewise, then to the first line, and in a directory to the best score, then the least
 path; repeated rows are scanned alike; empty tables give empty tables. Columns named as the output are replaced.
 """
 
@@ -26,25 +29,12 @@ from pyspark.sql import types as T
 
 from gramsieve.llm import shingles
 from gramsieve.llm.common import cut, salted_lookup, without
+from gramsieve.llm.licence_texts import FAMILIES, NAMELESS, RESERVED, TEMPLATES, VARIANTS
 from gramsieve.shipping import ship
 
 WINDOW, LEAST = 3, 0.7
 #: Names of licence files, without endings.
 NAMES = "license|licence|copying|unlicense|notice"
-#: Notices by which works state their licence, under SPDX names.
-TEMPLATES = (
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
-    ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License"),
-    ("MIT", "Released under the MIT License."),
-    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction"),
-    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
-)
-
 _OTHER = np.ones(256, bool)
 _OTHER[list(b"0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")] = False
 _OTHER[128:] = False
@@ -67,69 +57,98 @@ def present(terms: np.ndarray, h: np.ndarray) -> np.ndarray:
     return np.unique(at[terms[at] == h])
 
 
+#: All templates in order of name, reservations and nameless wordings after them.
+_ALL = (*sorted((*TEMPLATES, *VARIANTS)), *RESERVED, *((None, t) for t in NAMELESS))
+
+
 class Model:
     """Template vectors over their own terms, by inverse document frequency."""
 
     def __init__(self, df: dict[int, int], n_docs: int):
-        self.names = [n for n, _ in TEMPLATES]
-        found = [tokens(t.encode())[0] for _, t in TEMPLATES]
+        self.names = [n for n, _ in _ALL]
+        reserved = {n for n, _ in RESERVED}
+        self.tier = np.array([3 if n is None else 2 if n in reserved else int(n in FAMILIES) for n in self.names])
+        found = [tokens(t.encode())[0] for _, t in _ALL]
         self.terms = np.unique(np.concatenate(found))
         self.idf = np.array([np.log((1 + n_docs) / (1 + df.get(int(t.astype(np.int64)), 0))) + 1 for t in self.terms])
         self.none = np.log(1 + n_docs) + 1
-        self.vectors = np.zeros((len(self.terms), len(found)))
+        self.counts = np.zeros((len(self.terms), len(found)), np.uint8)
         for j, f in enumerate(found):
-            np.add.at(self.vectors[:, j], np.searchsorted(self.terms, f), 1)
-        self.vectors *= self.idf[:, None]
+            np.add.at(self.counts[:, j], np.searchsorted(self.terms, f), 1)
+        self._weigh()
+
+    def _weigh(self) -> None:
+        self.fewest = np.minimum((self.counts > 0).sum(axis=0), 2)
+        self.vectors = self.counts * self.idf[:, None]
         self.vectors /= np.sqrt((self.vectors**2).sum(axis=0))
 
-    def cosines(self, unit: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The units that share a term with a template, and their cosines to all templates."""
+    def __getstate__(self) -> dict:
+        """Travels with the counts alone, an eighth of the weights' size."""
+        return {k: v for k, v in self.__dict__.items() if k != "vectors"}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self._weigh()
+
+    def closest(self, unit: np.ndarray, h: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The units that reach ``least``, with their closest templates and cosines.
+
+        A unit's cosine is at most the norm of its known terms over its own, so other units aren't scored.
+        """
         at = np.minimum(np.searchsorted(self.terms, h), len(self.terms) - 1)
         known = self.terms[at] == h
         some = np.unique(unit[known])
-        if not len(some):
-            return some, np.zeros((0, len(self.names)))
         keep = np.isin(unit, some)
         unit, h, at, known = np.searchsorted(some, unit[keep]), h[keep], at[keep], known[keep]
         by = np.lexsort((h, unit))
         unit, h, at, known = unit[by], h[by], at[by], known[by]
-        first = np.flatnonzero(np.append(True, (np.diff(unit) != 0) | (h[1:] != h[:-1])))
+        first = np.flatnonzero(np.append(True, (np.diff(unit) != 0) | (h[1:] != h[:-1]))[: len(h)])
         tf = np.diff(np.append(first, len(h)))
         unit, at, known = unit[first], at[first], known[first]
         value = tf * np.where(known, self.idf[at], self.none)
         norm = np.sqrt(np.bincount(unit, value**2, minlength=len(some)))
-        dots = np.zeros((len(some), len(self.names)))
-        np.add.at(dots, unit[known], value[known, None] * self.vectors[at[known]])
-        return some, dots / norm[:, None]
+        held = np.sqrt(np.bincount(unit[known], value[known] ** 2, minlength=len(some)))
+        units, best, cosine = [], [], []
+        unit, at, value = unit[known], at[known], value[known]
+        for u in np.flatnonzero(held >= (least - 1e-9) * norm):
+            part = slice(*np.searchsorted(unit, [u, u + 1]))
+            held_in = self.vectors[at[part]]
+            # one shared word, like a German 'Mit.', names no licence of several words
+            cos = np.where((held_in > 0).sum(axis=0) >= self.fewest, value[part] @ held_in / norm[u], 0.0)
+            j = int(cos.argmax())
+            # equal sums may differ in their last bits
+            j = int(np.flatnonzero(cos >= cos[j] - 1e-12)[0])
+            if cos[j] >= least:
+                units.append(some[u])
+                best.append(j)
+                cosine.append(cos[j])
+        return np.array(units, np.int64), np.array(best, np.int64), np.array(cosine)
 
     def scan(self, data: bytes, least: float = LEAST) -> tuple[str | None, float, int]:
-        """The best licence, its score and line (from 1), if a window can reach ``least`` at all.
+        """The best licence, its score and line (from 1), if a window reaches ``least``.
 
         A window's cosine to a template is at most the norm of the template over the terms that the window holds, so a text
         whose terms together hold less of every template has no window to score.
         """
         h, line = tokens(data)
-        best = (None, 0.0, 0)
+        best, rank = (None, 0.0, 0), 3
         if np.sqrt((self.vectors[present(self.terms, h)] ** 2).sum(axis=0)).max() < least - 1e-9:
             return best
-        for width in (1, WINDOW):
-            unit = np.concatenate([line - o for o in range(width)])
-            some, cos = self.cosines(np.maximum(unit, 0) if width == 1 else unit, np.tile(h, width))
-            if len(some):
-                j = int(cos.max(axis=0).argmax())
-                i = int(cos[:, j].argmax())
-                if cos[i, j] > best[1] + 1e-12:
-                    best = (self.names[j], float(cos[i, j]), max(int(some[i]), 0) + 1)
-        some, cos = self.cosines(np.zeros(len(h), np.int64), h)
-        whole = float(cos.max()) if len(some) else 0.0
-        if whole > best[1] + 1e-12:
-            best = (self.names[int(cos[0].argmax())], whole, 1)
+        for width in (1, WINDOW, 0):
+            unit = np.concatenate([line - o for o in range(width)]) if width else np.zeros(len(h), np.int64)
+            some, at, cos = self.closest(unit, np.tile(h, width or 1), least)
+            if not len(some):
+                continue
+            i = np.lexsort((some, at, -cos, self.tier[at]))[0]
+            tier = int(self.tier[at[i]])
+            if tier < rank or (tier == rank < 3 and cos[i] > best[1] + 1e-12):
+                best, rank = (self.names[at[i]], float(cos[i]), max(int(some[i]), 0) + 1), tier
         return best
 
 
 def frequencies(df: DataFrame, text: str) -> tuple[dict[int, int], int]:
     """In how many documents each template term occurs, over all of them, and how many there are; as many sums as terms."""
-    terms = np.unique(np.concatenate([tokens(t.encode())[0] for _, t in TEMPLATES]))
+    terms = np.unique(np.concatenate([tokens(t.encode())[0] for _, t in _ALL]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count, n = np.zeros(len(terms), np.int64), 0
