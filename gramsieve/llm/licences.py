@@ -3,7 +3,8 @@
 Every window of one line and of ``WINDOW`` lines of a text is a candidate header; the whole text is one too, and a file named
 as a licence file speaks for its directory. Tokens are runs of ASCII letters and
 digits or bytes of other scripts, lower-cased. Inverse document frequencies of the templates' terms come from all documents;
-terms that no template holds count with the frequency of none. Only windows whose terms can reach the threshold are scored.
+terms that no template holds count with the frequency of none. Frequencies of more than ``SCALE`` documents count as the same
+shares of so many, so that a word without a template doesn't outgrow the notice around it as the corpus grows. Only windows whose terms can reach the threshold are scored.
 
 A window speaks for the template that it is closest to, of which it holds two terms or all, and says nothing if that is a wording without a licence's name. Of
 the windows that speak, those naming a licence come before those naming a family without its version, and both before a
@@ -33,6 +34,8 @@ from gramsieve.llm.licence_texts import FAMILIES, NAMELESS, RESERVED, TEMPLATES,
 from gramsieve.shipping import ship
 
 WINDOW, LEAST = 3, 0.7
+#: Documents to which the frequencies of a larger corpus are scaled.
+SCALE = 1000
 #: Names of licence files, without endings.
 NAMES = "license|licence|copying|unlicense|notice"
 _OTHER = np.ones(256, bool)
@@ -70,8 +73,10 @@ class Model:
         self.tier = np.array([3 if n is None else 2 if n in reserved else int(n in FAMILIES) for n in self.names])
         found = [tokens(t.encode())[0] for _, t in _ALL]
         self.terms = np.unique(np.concatenate(found))
-        self.idf = np.array([np.log((1 + n_docs) / (1 + df.get(int(t.astype(np.int64)), 0))) + 1 for t in self.terms])
-        self.none = np.log(1 + n_docs) + 1
+        n = min(n_docs, SCALE)
+        held = np.array([df.get(int(t.astype(np.int64)), 0) for t in self.terms]) * (n / max(n_docs, 1))
+        self.idf = np.log((1 + n) / (1 + held)) + 1
+        self.none = np.log(1 + n) + 1
         self.counts = np.zeros((len(self.terms), len(found)), np.uint8)
         for j, f in enumerate(found):
             np.add.at(self.counts[:, j], np.searchsorted(self.terms, f), 1)

@@ -34,3 +34,11 @@ def test_whole_texts_beat_their_near_variants():
         words = ("Copyright (c) 2020, Jane Roe\n\n" + text).split(" ")
         wrapped = "\n".join(" ".join(words[i : i + 12]) for i in range(0, len(words), 12))
         assert m.scan(wrapped.encode())[0] == name, (name, m.scan(wrapped.encode()))
+
+
+def test_one_header_at_several_corpus_sizes():
+    headers = ["This work is licensed under the GNU General Public License, version 3. (c) John Smith", "Copyright 2020. Licensed under the Apache License, Version 2.0.", "Acme widgets: this software is released under the MIT License. (c) Smith"]
+    for text in headers:
+        found = [model(n).scan(text.encode(), 0.3) for n in (1_000, 10_000, 10_000_000)]
+        assert len({f[0] for f in found}) == 1 and found[0][0], (text, found)
+        assert max(f[1] for f in found) - min(f[1] for f in found) < 1e-6, (text, found)
