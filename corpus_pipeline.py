@@ -23,7 +23,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without lines that recur in earlier documents; a document of which no line is left goes."""
-    out = linededup.drop_recurring(docs).filter("n_dropped < n_lines OR n_lines = 0")
+    out = linededup.drop_recurring(docs, clean=True).filter("n_dropped < n_lines OR n_lines = 0")
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 

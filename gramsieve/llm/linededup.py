@@ -6,6 +6,9 @@ it there, else it is a variable field too. Lines whose constants agree share a t
 their tokens are constant; other lines are a template of their own. A template that recurs in ``min_docs`` or more documents
 is dropped from all but the document with the smallest id.
 
+The leading tokens agree throughout a leaf, so short lines with one opening meet ``ALIKE`` by it alone. ``clean`` asks for
+``ALIKE`` of the tokens after them too; the registered query keeps to its SQL, which doesn't.
+
 All counts are sums by leaf, place and token over hash partitions, so a leaf of any size is spread over tasks, and only
 leaves that could reach ``min_docs`` and hold different lines are looked into; other lines travel as hashes. Texts are moved
 once, to meet their dropped templates.
@@ -61,7 +64,7 @@ def _outside(hashes: pd.Series, gone: pd.Series) -> pd.Series:
     return pd.Series([None if g is None else ~np.isin(h, g) for h, g in zip(hashes, gone, strict=True)])
 
 
-def templates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", min_docs: int = 10) -> tuple[DataFrame, DataFrame, int]:
+def templates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", min_docs: int = 10, clean: bool = False) -> tuple[DataFrame, DataFrame, int]:
     """The different lines (id, m) of all documents; (m, t), the template of lines that share one with others; its rows."""
     lines = _lines(df, doc_id, text)
     held = cut(lines.select("id", "m", "leaf").distinct())
@@ -76,14 +79,17 @@ def templates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", min_doc
     constant = tokens.groupBy("leaf", "pos", "token").agg(F.sum("c").alias("w"), F.first("all").alias("all")).filter("2 * w >= all").select("leaf", "pos", "token", F.lit(True).alias("fixed"))
     met = salted_lookup(tokens, constant, ["leaf", "pos", "token"], F.col("m")).filter("fixed")
     shape = met.groupBy("m", "leaf", "size").agg(F.sort_array(F.collect_list(F.struct("pos", "token"))).alias("k"))
-    mapped = shape.filter(F.size("k") >= F.lit(ALIKE) * F.col("size")).select("m", F.xxhash64("leaf", "k").alias("t"))
+    alike = F.size("k") >= F.lit(ALIKE) * F.col("size")
+    if clean:
+        alike &= F.size(F.filter("k", lambda c: c["pos"] >= LEAD)) >= F.lit(ALIKE) * (F.col("size") - LEAD)
+    mapped = shape.filter(alike).select("m", F.xxhash64("leaf", "k").alias("t"))
     return held, cut(mapped), n
 
 
-def drop_recurring(df: DataFrame, doc_id: str = "doc_id", text: str = "text", min_docs: int = 10) -> DataFrame:
+def drop_recurring(df: DataFrame, doc_id: str = "doc_id", text: str = "text", min_docs: int = 10, clean: bool = False) -> DataFrame:
     """Rewrites ``text`` without recurring lines and adds ``n_lines`` (with a token) and ``n_dropped``."""
     ship(df.sparkSession)
-    held, mapped, n = templates(df, doc_id, text, min_docs)
+    held, mapped, n = templates(df, doc_id, text, min_docs, clean)
     placed = _near(held.select("id", "m"), mapped, ["m"], F.col("id"), n).withColumn("t", F.coalesce("t", "m"))
     often = placed.select("id", "t").distinct().groupBy("t").agg(F.count("*").alias("c"), F.min("id").alias("first")).filter(F.col("c") >= min_docs).select("t", "first", F.lit(True).alias("often"))
     often = cut(often)
