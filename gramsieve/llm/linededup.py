@@ -7,7 +7,8 @@ their tokens are constant; other lines are a template of their own. A template t
 is dropped from all but the document with the smallest id.
 
 The leading tokens agree throughout a leaf, so short lines with one opening meet ``ALIKE`` by it alone. ``clean`` asks for
-``ALIKE`` of the tokens after them too; the registered query keeps to its SQL, which doesn't.
+``ALIKE`` of the tokens after them too, counts no masked field towards the ``ALIKE`` of the whole, and takes a line with fewer
+other tokens as it stands, so that rows of numbers are equal only if their numbers are; the registered query keeps to its SQL, which does none of this.
 
 All counts are sums by leaf, place and token over hash partitions, so a leaf of any size is spread over tasks, and only
 leaves that could reach ``min_docs`` and hold different lines are looked into; other lines travel as hashes. Texts are moved
@@ -34,10 +35,13 @@ LEAD, ALIKE = 3, 0.6
 SMALL = 100_000
 
 
-def _tokens(line: Column) -> Column:
-    """Tokens with variable fields masked."""
+def _tokens(line: Column, clean: bool = False) -> Column:
+    """Tokens with variable fields masked; with ``clean`` only where ``ALIKE`` of them are none."""
     plain = words(line)
-    return F.when(line.rlike("[0-9]"), F.transform(plain, lambda t: F.when(t.rlike("[0-9]"), F.lit("<*>")).otherwise(t))).otherwise(plain)
+    fields = line.rlike("[0-9]")
+    if clean:
+        fields &= F.size(F.filter(plain, lambda t: ~t.rlike("[0-9]"))) >= F.lit(ALIKE) * F.size(plain)
+    return F.when(fields, F.transform(plain, lambda t: F.when(t.rlike("[0-9]"), F.lit("<*>")).otherwise(t))).otherwise(plain)
 
 
 def _hash(tokens: Column) -> Column:
@@ -49,10 +53,10 @@ def _near(df: DataFrame, right: DataFrame, keys: list[str], spread: Column, rows
     return df.join(F.broadcast(right), keys, "left") if rows <= SMALL else salted_lookup(df, right, keys, spread)
 
 
-def _lines(df: DataFrame, doc_id: str, text: str) -> DataFrame:
+def _lines(df: DataFrame, doc_id: str, text: str, clean: bool) -> DataFrame:
     """(id, m, leaf, tokens): the different lines of each row."""
     split = F.split(F.coalesce(F.col(text), F.lit("")), "\n")
-    parsed = F.filter(F.transform(F.array_distinct(split), _tokens), lambda t: F.size(t) > 0)
+    parsed = F.filter(F.transform(F.array_distinct(split), lambda x: _tokens(x, clean)), lambda t: F.size(t) > 0)
     x = df.select(F.col(doc_id).cast("long").alias("id"), F.explode(parsed).alias("tokens"))
     leaf = F.xxhash64(F.size("tokens"), F.slice("tokens", 1, LEAD))
     return x.select("id", _hash(F.col("tokens")).alias("m"), leaf.alias("leaf"), "tokens")
@@ -66,7 +70,7 @@ def _outside(hashes: pd.Series, gone: pd.Series) -> pd.Series:
 
 def templates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", min_docs: int = 10, clean: bool = False) -> tuple[DataFrame, DataFrame, int]:
     """The different lines (id, m) of all documents; (m, t), the template of lines that share one with others; its rows."""
-    lines = _lines(df, doc_id, text)
+    lines = _lines(df, doc_id, text, clean)
     held = cut(lines.select("id", "m", "leaf").distinct())
     known = held.groupBy("m", "leaf").agg(F.count("*").alias("c"))
     leaves = known.groupBy("leaf").agg(F.count("*").alias("n"), F.sum("c").alias("all")).filter((F.col("n") > 1) & (F.col("all") >= min_docs))
@@ -75,13 +79,14 @@ def templates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", min_doc
     if not n:
         return held, some.select("m", F.col("m").alias("t")), 0
     found = _near(lines, some, ["m"], F.col("id"), n).filter("c IS NOT NULL").dropDuplicates(["m"])
-    tokens = cut(found.select("m", "leaf", "c", "all", F.size("tokens").alias("size"), F.posexplode("tokens").alias("pos", "token")).withColumn("token", F.xxhash64("token")))
+    tokens = cut(found.select("m", "leaf", "c", "all", F.size("tokens").alias("size"), F.posexplode("tokens").alias("pos", "token")).withColumns({"word": ~F.col("token").rlike("[0-9]|^<\\*>$"), "token": F.xxhash64("token")}))
     constant = tokens.groupBy("leaf", "pos", "token").agg(F.sum("c").alias("w"), F.first("all").alias("all")).filter("2 * w >= all").select("leaf", "pos", "token", F.lit(True).alias("fixed"))
     met = salted_lookup(tokens, constant, ["leaf", "pos", "token"], F.col("m")).filter("fixed")
-    shape = met.groupBy("m", "leaf", "size").agg(F.sort_array(F.collect_list(F.struct("pos", "token"))).alias("k"))
+    shape = met.groupBy("m", "leaf", "size").agg(F.sort_array(F.collect_list(F.struct("pos", "token"))).alias("k"), F.count_if("word").alias("n_words"))
     alike = F.size("k") >= F.lit(ALIKE) * F.col("size")
     if clean:
         alike &= F.size(F.filter("k", lambda c: c["pos"] >= LEAD)) >= F.lit(ALIKE) * (F.col("size") - LEAD)
+        alike &= F.col("n_words") >= F.lit(ALIKE) * F.col("size")
     mapped = shape.filter(alike).select("m", F.xxhash64("leaf", "k").alias("t"))
     return held, cut(mapped), n
 
@@ -97,7 +102,7 @@ def drop_recurring(df: DataFrame, doc_id: str = "doc_id", text: str = "text", mi
     gone = gone.groupBy(F.col("id").alias("__id")).agg(F.collect_set("m").alias("__gone"))
     df = without(df, ["n_lines", "n_dropped", "__id", "__gone", "__l"])
     met = df.join(gone, F.col(doc_id).cast("long").eqNullSafe(F.col("__id")), "left").drop("__id")
-    line = F.transform(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), lambda x: F.struct(x.alias("x"), _tokens(x).alias("k")))
+    line = F.transform(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), lambda x: F.struct(x.alias("x"), _tokens(x, clean).alias("k")))
     met = met.withColumn("__l", line)
     marked = F.transform("__l", lambda s: F.struct(s["x"].alias("x"), (F.size(s["k"]) > 0).alias("full"), _hash(s["k"]).alias("m")))
     met = met.withColumn("__l", marked)
