@@ -28,8 +28,13 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates."""
-    return lshforest.keep_one(docs).select(*docs.columns)
+    """One document of each group of near duplicates, and of lines of over 50 words that several of these hold one copy.
+
+    A document of which no word is left goes. Passages come last, so that near duplicates are told by their whole texts.
+    """
+    out = linededup.drop_passages(lshforest.keep_one(docs).select(*docs.columns))
+    kept = out.filter((F.col("n_dropped") == 0) | F.col("text").rlike("[^ \\t\\n\\x0B\\f\\r]"))
+    return kept.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

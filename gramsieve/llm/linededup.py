@@ -21,6 +21,8 @@ tables. Columns named as the operator's output are replaced, the text is rewritt
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -100,9 +102,35 @@ def drop_recurring(df: DataFrame, doc_id: str = "doc_id", text: str = "text", mi
     often = cut(often)
     gone = _near(placed, often, ["t"], F.col("id"), often.count()).filter("often").filter(~F.col("id").eqNullSafe(F.col("first")))
     gone = gone.groupBy(F.col("id").alias("__id")).agg(F.collect_set("m").alias("__gone"))
+    return _rewritten(df, doc_id, text, gone, lambda x: _tokens(x, clean))
+
+
+def drop_passages(df: DataFrame, doc_id: str = "doc_id", text: str = "text", n_words: int = 50) -> DataFrame:
+    """Rewrites ``text`` without lines of more than ``n_words`` words that a document with a smaller id holds too.
+
+    Lines are equal if their words are. Adds ``n_lines`` (of more than ``n_words``) and ``n_dropped``.
+    """
+    ship(df.sparkSession)
+
+    def long(line: Column) -> Column:
+        w = words(line)
+        return F.when(F.size(w) > n_words, w).otherwise(F.array().cast("array<string>"))
+
+    split = F.array_distinct(F.split(F.coalesce(F.col(text), F.lit("")), "\n"))
+    x = df.select(F.col(doc_id).cast("long").alias("id"), F.explode(split).alias("x")).select("id", long(F.col("x")).alias("k"))
+    held = cut(x.filter(F.size("k") > 0).select("id", _hash(F.col("k")).alias("m")).distinct())
+    often = held.groupBy("m").agg(F.count("*").alias("c"), F.min("id").alias("first")).filter("c > 1").select("m", "first", F.lit(True).alias("often"))
+    often = cut(often)
+    gone = _near(held, often, ["m"], F.col("id"), often.count()).filter("often").filter(~F.col("id").eqNullSafe(F.col("first")))
+    gone = gone.groupBy(F.col("id").alias("__id")).agg(F.collect_set("m").alias("__gone"))
+    return _rewritten(df, doc_id, text, gone, long)
+
+
+def _rewritten(df: DataFrame, doc_id: str, text: str, gone: DataFrame, parse: Callable[[Column], Column]) -> DataFrame:
+    """Texts without the lines whose hashes of parsed tokens ``gone`` (__id, __gone) holds; lines without tokens stay."""
     df = without(df, ["n_lines", "n_dropped", "__id", "__gone", "__l"])
     met = df.join(gone, F.col(doc_id).cast("long").eqNullSafe(F.col("__id")), "left").drop("__id")
-    line = F.transform(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), lambda x: F.struct(x.alias("x"), _tokens(x, clean).alias("k")))
+    line = F.transform(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), lambda x: F.struct(x.alias("x"), parse(x).alias("k")))
     met = met.withColumn("__l", line)
     marked = F.transform("__l", lambda s: F.struct(s["x"].alias("x"), (F.size(s["k"]) > 0).alias("full"), _hash(s["k"]).alias("m")))
     met = met.withColumn("__l", marked)

@@ -1,4 +1,7 @@
+import random
+
 import corpus_pipeline
+from gramsieve.llm import linededup
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -21,3 +24,22 @@ def test_rows_of_numbers_stay_unless_equal(spark):
     for i, t in enumerate(texts):
         lines = t.split("\n")
         assert got[i].split("\n") == (lines if not i else [*lines[:2], lines[4]])
+
+
+def test_passages_of_over_50_words_stay_in_one_document(spark):
+    random.seed(4)
+    text = lambda n: " ".join("".join(random.choices("abcdefgh", k=5)) for _ in range(n))
+    passage, at_most = text(51), text(50)
+    texts = [f"{text(80)}\n{passage}\n{text(30)}\n{at_most}" for _ in range(3)] + [passage + " 7\n" + text(20)]
+    got = staged(spark, corpus_pipeline.near_dedup, texts)
+    for i, t in enumerate(texts):
+        lines = t.split("\n")
+        assert got[i].split("\n") == (lines if i in (0, 3) else [lines[0], *lines[2:]])
+
+
+def test_passages_over_null_ids_and_whole_documents(spark):
+    passage = "word " * 60
+    rows = [(7, passage), (None, passage + "\nmore"), (3, "x\n" + passage), (9, None), (11, ""), (3, passage)]
+    got = linededup.drop_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((str(r.doc_id), r.n_dropped, str(r.text)) for r in got) == sorted([("7", 1, ""), ("None", 1, "more"), ("3", 0, "x\n" + passage), ("9", 0, "None"), ("11", 0, ""), ("3", 0, passage)])
+    assert linededup.drop_passages(spark.createDataFrame([], "doc_id long, text string")).count() == 0
