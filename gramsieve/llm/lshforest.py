@@ -3,13 +3,12 @@
 1. Every text becomes its set of word shingles (64-bit hashes), a MinHash signature and a digest of the set. Equal sets form
    a class; only one representative a class goes on, so exact copies cost one row however many they are.
 2. Each tree of the forest orders all classes by its own run of signature values. Neighbours in that order whose longest
-   common prefix is at least ``DEPTH`` values are candidates; the order goes on below that depth (``DEEPER`` values), so
-   that in a dense region the neighbours are those that agree deepest. The order is a range partition and sort: a region of
+   common prefix is at least ``DEPTH`` values share a region, which has this depth everywhere; the order goes on below it
+   (``DEEPER`` values), so that in a dense region the neighbours are those that agree deepest. The order is a range partition and sort: a region of
    any size is spread over tasks, and only the first and last row of each partition meet to close the seams.
-3. Neighbours in the first trees are confirmed on the whole sets and joined into components. Then every region of every tree
+3. Neighbours in the first ``FIRST`` trees are confirmed on the whole sets and joined into components. Then every region of every tree
    that still holds more than one component gives its pairs across components, those of its smaller components against all
-   the rest; first the most alike pair of any two components is confirmed, then all that still lie across. So no pair that
-   shares a region and could link is left out, and none inside a component is made.
+   the rest; all of them that signatures don't rule out are confirmed. So no pair that shares a region and could link is left out, and none inside a component is made.
 
 A pair with Jaccard similarity 0.8 shares no region with probability (1 - 0.8**DEPTH) ** TREES, 3e-7. Signatures only rule
 out pairs whose agreement is ``SLACK`` below the threshold, six standard deviations.
