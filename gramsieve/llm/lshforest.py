@@ -1,17 +1,21 @@
 """Near duplicates by an LSH forest over MinHash signatures, confirmed on whole shingle sets.
 
-1. Every text becomes its set of word shingles (64-bit hashes), a MinHash signature and a digest of the set. Equal sets form
-   a class; only one representative a class goes on, so exact copies cost one row however many they are.
-2. Each tree of the forest orders all classes by its own run of signature values. Neighbours in that order whose longest
-   common prefix is at least ``DEPTH`` values share a region, which has this depth everywhere; the order goes on below it
-   (``DEEPER`` values), so that in a dense region the neighbours are those that agree deepest. The order is a range partition and sort: a region of
-   any size is spread over tasks, and only the first and last row of each partition meet to close the seams.
-3. Neighbours in the first ``FIRST`` trees are confirmed on the whole sets and joined into components. Then every region of every tree
-   that still holds more than one component gives its pairs across components, those of its smaller components against all
-   the rest; all of them that signatures don't rule out are confirmed. So no pair that shares a region and could link is left out, and none inside a component is made.
-
-A pair with Jaccard similarity 0.8 shares no region with probability (1 - 0.8**DEPTH) ** TREES, 3e-7. Signatures only rule
-out pairs whose agreement is ``SLACK`` below the threshold, six standard deviations.
+1. Every text becomes its set of word shingles (64-bit hashes), a MinHash signature and a 128-bit digest of the set. Equal sets
+   form a class; only one row a class goes on, so exact copies cost one row however many they are.
+2. Each of ``TREES`` orders sorts all classes by its own run of ``LONGEST`` signature values (16 bits of each), lexicographically.
+   Neighbours whose longest common prefix has at least ``LEVELS[0]`` values are candidates, in every tree. The order is a range
+   partition and sort, so a run of any size is spread over tasks; only the first and last row of each partition meet to close
+   the seams.
+3. Links that whole sets confirm are joined into components. A region is a run with a common prefix; its depth adapts: the
+   least of ``LEVELS`` at which it has at most ``REGION`` rows. Pairs across components of a region are candidates, so they are
+   at most ``REGION`` a row and tree, however dense the neighbourhood.
+4. What dense neighbourhoods (more than ``REGION`` rows at the first level, of several components) leave open is closed exactly:
+   of two sets that can link, the rarest shingles, as many as they may differ by and one more, must meet. Shingles are ranked by
+   the open classes that hold them; those held by one class meet nobody and are counted off, so that most rows of a dense group
+   are shown to have no further partner without a single pair. Pairs whose sizes and places allow a link are confirmed.
+
+A pair with Jaccard similarity 0.8 outside dense neighbourhoods shares no region with probability (1 - 0.8**4) ** 28, 3e-7.
+Signatures only rule out pairs whose agreement is ``SLACK`` below the threshold, five standard deviations.
 
 Defined results: a null text or one without words has an empty set, is linked with nothing and is its own component; with
 fewer words than a shingle the sequence is one shingle. ``component`` is the smallest id reachable; null ids come last, and
@@ -27,19 +31,22 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from gramsieve.llm.common import cut, salted_lookup, scratch, without
+from gramsieve.llm.common import cut, scratch, without
 from gramsieve.llm.components import components
-from gramsieve.llm.shingles import mixed, shingle_set
+from gramsieve.llm.shingles import shingle_set
 from gramsieve.shipping import ship
 
-#: Values that must agree in a tree's order, values by which it goes on, trees, and trees of the first round.
-DEPTH, DEEPER, TREES, FIRST = 4, 4, 28, 4
-K = DEPTH * TREES
-SLACK = 0.23
+#: Trees, values by which a tree sorts, depths that a region may have, and rows of a region at most.
+TREES, LONGEST, LEVELS, REGION = 28, 12, (4, 6, 9, 12), 32
+#: Signature values: a tree starts four after the one before and goes round.
+K = 4 * TREES
+SLACK = 0.2
+#: Step between the classes of set sizes in which the rarest shingles meet.
+RATIO = 1.03
 _ODD = (np.random.default_rng(7).integers(1, 1 << 62, K, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
 
 
@@ -53,9 +60,9 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _digest(found: np.ndarray) -> int | None:
-    """The class of a set: 64 bits of a cryptographic hash, so 10**9 different sets hold a false match with odds of 3 %."""
-    return int.from_bytes(hashlib.blake2b(found.tobytes(), digest_size=8).digest(), "little", signed=True) if len(found) else None
+def _digest(found: np.ndarray) -> bytes | None:
+    """The class of a set: 128 bits of a cryptographic hash, so that even 10**12 different sets hold no false match."""
+    return hashlib.blake2b(found.tobytes(), digest_size=16).digest() if len(found) else None
 
 
 def sketch(df: DataFrame, doc_id: str, text: str, words: int) -> DataFrame:
@@ -83,74 +90,87 @@ def sketch(df: DataFrame, doc_id: str, text: str, words: int) -> DataFrame:
                     for i, s in zip(rows, signatures(sets), strict=True):
                         sigs[i] = s.tobytes()
                 own = batch.slice(begin, at - begin)
-                yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), pa.array(sizes, pa.int64()), pa.array(digests, pa.int64()), pa.array(sigs, pa.binary())], names=["id", "th", "n", "digest", "sig"])
+                yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(sigs, pa.binary())], names=["id", "th", "n", "digest", "sig"])
 
     content = F.col(text).cast("string")
-    return df.select(F.col(doc_id).cast("long").alias("id"), F.xxhash64(content).alias("th"), content.alias("text")).mapInArrow(run, "id long, th long, n long, digest long, sig binary")
+    return df.select(F.col(doc_id).cast("long").alias("id"), F.xxhash64(content).alias("th"), content.alias("text")).mapInArrow(run, "id long, th long, n long, digest binary, sig binary")
+
+
+#: Bytes of a place in the forest (the tree and LONGEST values) and of its part that neighbours must share.
+_PLACE, _HEAD = 1 + 2 * LONGEST, 1 + 2 * LEVELS[0]
+
+
+def _fixed(rows: np.ndarray) -> pa.Array:
+    """Rows of bytes as binary values."""
+    return pa.Array.from_buffers(pa.binary(rows.shape[1]), len(rows), [None, pa.py_buffer(np.ascontiguousarray(rows).tobytes())]).cast(pa.binary())
 
 
 def _orders(classes: DataFrame) -> DataFrame:
-    """A row a class and tree: the tree, the key of its region and the values below it."""
+    """(place, c) a class and tree: the tree and its run of signature values, which binary order sorts lexicographically."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 2048):
                 batch = whole.slice(at, 2048)
                 sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint32).reshape(-1, K)
-                n = len(sig)
+                high = (sig >> np.uint32(16)).astype(">u2")
                 for t in range(TREES):
-                    run_of = sig[:, t * DEPTH : (t + 1) * DEPTH].astype(np.uint64)
-                    key = np.full(n, t + 1, np.uint64)
-                    for j in range(DEPTH):
-                        key = mixed(key * np.uint64(0x9E3779B97F4A7C15) + run_of[:, j])
-                    below = np.ascontiguousarray(sig[:, [(t * DEPTH + DEPTH + j) % K for j in range(DEEPER)]].byteswap())
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(n, t, np.int32)), pa.array(key.view(np.int64)), pa.array([r.tobytes() for r in below], pa.binary()), batch.column(0)], names=["t", "key", "below", "digest"]
-                    )
+                    values = np.ascontiguousarray(high[:, [(4 * t + j) % K for j in range(LONGEST)]]).view(np.uint8).reshape(len(sig), -1)
+                    yield pa.RecordBatch.from_arrays([_fixed(np.concatenate([np.full((len(sig), 1), t, np.uint8), values], axis=1)), batch.column(0)], names=["place", "c"])
 
-    return classes.select("digest", "sig").mapInArrow(run, "t int, key long, below binary, digest long")
+    return classes.select("c", "sig").select("c", "sig").mapInArrow(run, "place binary, c long")
 
 
 def _neighbours(orders: DataFrame) -> DataFrame:
-    """Rows whose region holds another row, with the one before them in the order, if it is of the same region."""
+    """(place, c, before): rows that share their place's head with a row beside them, and the row before them if that is one."""
+    kind = pa.schema([("place", pa.binary()), ("c", pa.int64()), ("before", pa.int64()), ("seam", pa.bool_())])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.schema([("t", pa.int32()), ("key", pa.int64()), ("below", pa.binary()), ("digest", pa.int64()), ("before", pa.int64()), ("seam", pa.bool_())])
-        last = None  # the row before, not given out yet
-        first = True
-
-        def rows(found: list) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found, strict=True), kind, strict=True)], schema=kind)
+    def rows(place: np.ndarray, c: np.ndarray, before: np.ndarray, alone: np.ndarray, seam: bool) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([_fixed(place), pa.array(c), pa.array(before, mask=alone), pa.array(np.full(len(c), seam))], schema=kind)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, first = None, True  # the last row so far: place, id, the id before it, and whether that is no neighbour
         for batch in batches:
-            out = []
-            for t, key, below, digest in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                alike = last is not None and last[0] == t and last[1] == key
-                if last is not None and (alike or last[4] is not None or last[5]):
-                    out.append(last)
-                last = (t, key, below, digest, last[3] if alike else None, first)
+            if not batch.num_rows:
+                continue
+            place = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint8).reshape(-1, _PLACE)
+            c = batch.column(1).to_numpy()
+            if held is not None:
+                place, c = np.concatenate([held[0], place]), np.concatenate([held[1], c])
+            same = (place[1:, :_HEAD] == place[:-1, :_HEAD]).all(axis=1)
+            before, alone = np.concatenate([[0], c[:-1]]), np.concatenate([[True], ~same])
+            if held is not None:
+                before[:1], alone[:1] = held[2], held[3]
+            company = ~alone[:-1] | same
+            start = int(first and len(c) > 1)
+            if start:  # the first row of the partition
+                yield rows(place[:1], c[:1], before[:1], alone[:1], True)
                 first = False
-            if out:
-                yield rows(out)
-        if last is not None:
-            yield rows([(*last[:5], True)])
-
-    order = ["t", "key", "below", "digest"]
+            out = np.flatnonzero(company[start:]) + start
+            if len(out):
+                yield rows(place[out], c[out], before[out], alone[out], False)
+            held = place[-1:], c[-1:], before[-1:], alone[-1:]
+        if held is not None:
+            yield rows(*held, True)
+
+    order = ["place", "c"]
     dealt = orders.repartitionByRange(*order).sortWithinPartitions(*order)
-    found = cut(dealt.mapInArrow(run, "t int, key long, below binary, digest long, before long, seam boolean"))
+    found = cut(dealt.mapInArrow(run, "place binary, c long, before long, seam boolean"))
     # two rows a partition at most: the last of one and the first of the next
     w = W.orderBy(*order)
-    seams = found.filter("seam").withColumns({"pt": F.lag("t").over(w), "pk": F.lag("key").over(w), "pd": F.lag("digest").over(w)})
-    closed = seams.withColumn("before", F.coalesce("before", F.when((F.col("pt") == F.col("t")) & (F.col("pk") == F.col("key")), F.col("pd"))))
-    return found.filter("NOT seam").drop("seam").unionByName(closed.select("t", "key", "below", "digest", "before"))
+    head = F.substring("place", 1, _HEAD)
+    seams = found.filter("seam").withColumns({"ph": F.lag(head).over(w), "pc": F.lag("c").over(w)})
+    closed = seams.withColumn("before", F.coalesce("before", F.when(F.col("ph") == head, F.col("pc"))))
+    return found.filter("NOT seam").drop("seam").unionByName(closed.select("place", "c", "before"))
 
 
-def _pairs(a: str, b: str):
+def _pair(a: Column, b: Column) -> list[Column]:
     return [F.greatest(a, b).alias("u"), F.least(a, b).alias("v")]
 
 
-def _alike(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
-    """Adds ``share``, the agreement of the signatures, and drops pairs that can't reach the threshold."""
+def _alike(pairs: DataFrame, near: DataFrame, percent: int) -> DataFrame:
+    """Drops pairs whose sizes or signatures show that they can't reach the threshold."""
+
     @F.pandas_udf("double")
     def agreement(x: pd.Series, y: pd.Series) -> pd.Series:
         out = np.empty(len(x))
@@ -160,15 +180,15 @@ def _alike(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
             out[at : at + len(a)] = (a == b).mean(axis=1)
         return pd.Series(out)
 
-    c = classes.select("digest", "n", "sig")
-    near = pairs.join(c.select(F.col("digest").alias("u"), F.col("n").alias("nu"), F.col("sig").alias("su")).hint("merge"), "u")
-    near = near.join(c.select(F.col("digest").alias("v"), F.col("n").alias("nv"), F.col("sig").alias("sv")).hint("merge"), "v")
-    near = near.filter((F.least("nu", "nv") >= F.lit(threshold - 1e-9) * F.greatest("nu", "nv")))
-    return near.withColumn("share", agreement("su", "sv")).select("u", "v", "share").filter(F.col("share") >= threshold - SLACK)
+    met = pairs.join(near.select(F.col("c").alias("u"), F.col("n").alias("nu"), F.col("sig").alias("su")).hint("merge"), "u")
+    met = met.join(near.select(F.col("c").alias("v"), F.col("n").alias("nv"), F.col("sig").alias("sv")).hint("merge"), "v")
+    met = met.filter(100 * F.least("nu", "nv") >= percent * F.greatest("nu", "nv"))
+    return met.filter(agreement("su", "sv") >= percent / 100 - SLACK).select("u", "v")
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs whose whole sets reach the threshold."""
+
     @F.pandas_udf("boolean")
     def linked(x: pd.Series, y: pd.Series) -> pd.Series:
         out = []
@@ -178,38 +198,90 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             out.append(100 * both >= percent * (len(a) + len(b) - both))
         return pd.Series(out, dtype=bool)
 
-    met = pairs.select("u", "v").join(sets.select(F.col("digest").alias("u"), F.col("hashes").alias("su")).hint("merge"), "u")
-    met = met.join(sets.select(F.col("digest").alias("v"), F.col("hashes").alias("sv")).hint("merge"), "v")
+    met = pairs.select("u", "v").join(sets.select(F.col("c").alias("u"), F.col("hashes").alias("su")).hint("merge"), "u")
+    met = met.join(sets.select(F.col("c").alias("v"), F.col("hashes").alias("sv")).hint("merge"), "v")
     return met.filter(linked("su", "sv")).select("u", "v")
 
 
 def _sets(texts: DataFrame, words: int) -> DataFrame:
-    """(digest, hashes) from (digest, text), where the text has that digest."""
+    """(c, n, hashes) from (c, digest, text), where the text has that digest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)
-                found = [(d, shingle_set((x or "").encode(), words)) for d, x in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
-                found = [(d, x.tobytes()) for d, x in found if _digest(x) == d]
-                yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in found], pa.int64()), pa.array([x for _, x in found], pa.binary())], names=["digest", "hashes"])
-
-    return texts.mapInArrow(run, "digest long, hashes binary")
-
+                found = [(c, d, shingle_set((x or "").encode(), words)) for c, d, x in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
+                found = [(c, len(x), x.tobytes()) for c, d, x in found if _digest(x) == d]
+                yield pa.RecordBatch.from_arrays([pa.array(list(x), k) for x, k in zip(zip(*found, strict=True) if found else ([], [], []), (pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["c", "n", "hashes"])
+
+    return texts.mapInArrow(run, "c long, n long, hashes binary")
+
+
+def _placed_in(parts: DataFrame, rows: DataFrame) -> DataFrame:
+    """Adds the component of each row's class; a class without links is its own."""
+    met = rows.join(parts.select(F.col("node").alias("c"), "component").hint("merge"), "c", "left")
+    return met.withColumn("component", F.coalesce("component", "c"))
+
+
+def _across(found: DataFrame, parts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pairs across components in regions of adaptive depth, and the classes of dense neighbourhoods (c, component)."""
+    left = _placed_in(parts, found.select("place", "c"))
+    pairs, dense = [], None
+    for depth in LEVELS:
+        left = cut(left.withColumn("key", F.substring("place", 1, 1 + 2 * depth)))
+        sizes = left.groupBy("key").agg(F.count("*").alias("m"), F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("key", "m")
+        many = cut(left.join(sizes.hint("merge"), "key"))
+        # at most REGION rows each, so a list of them is of bounded size
+        members = many.filter(F.col("m") <= REGION).groupBy("key").agg(F.collect_list(F.struct("c", "component")).alias("l"))
+        own = lambda a: F.filter("l", lambda b: (b["c"] < a["c"]) & (b["component"] != a["component"]))
+        pairs.append(members.select(F.inline(F.flatten(F.transform("l", lambda a: F.transform(own(a), lambda b: F.struct(*_pair(a["c"], b["c"]))))))))
+        left = many.filter(F.col("m") > REGION).select("place", "c", "component")
+        if dense is None:
+            dense = left.select("c", "component").distinct()
+        if left.isEmpty():
+            break
+    every = pairs[0]
+    for more in pairs[1:]:
+        every = every.unionByName(more)
+    return every.distinct(), dense
+
+
+def _closing(open_: DataFrame, percent: int) -> DataFrame:
+    """From (c, component, n, hashes): every pair across components that may link, by the rarest shingles of both.
+
+    With an overlap of at least a shingles, the first n - a + 1 of both sets, in any common order, share one. The larger set of
+    a pair gives them for each class of sizes that its partner may have, the smaller for its own, and the places of the first
+    that they share bound the overlap. ``n`` less the shingles that others hold as well are places taken by shingles held alone.
+    """
+    low = lambda x, y: F.ceil(percent * (x + y) / (100.0 + percent) - 1e-9)  # least overlap that links sizes x and y
+    size_class = lambda n: F.floor(F.log(n.cast("double")) / float(np.log(RATIO)) + 1e-9).cast("int")
 
-def _across(regions: DataFrame, parts: DataFrame) -> DataFrame:
-    """Pairs across components in each region: rows outside its largest component against all rows of other components."""
-    placed = salted_lookup(regions.select("t", "key", "digest"), parts.withColumnRenamed("node", "digest"), ["digest"], F.col("key"), 4, large=True)
-    placed = placed.withColumn("component", F.coalesce("component", "digest"))
-    many = placed.groupBy("t", "key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("t", "key")
-    placed = cut(placed.join(many.hint("merge"), ["t", "key"], "left_semi"))
-    counted = placed.groupBy("t", "key", "component").agg(F.count("*").alias("c"))
-    main = counted.groupBy("t", "key").agg(F.max_by("component", F.struct("c", "component")).alias("main"))
-    marked = placed.join(main.hint("merge"), ["t", "key"])
-    few = marked.filter("component <> main").select("t", "key", F.col("digest").alias("a"), F.col("component").alias("ca"))
-    all_ = marked.select("t", "key", F.col("digest").alias("b"), F.col("component").alias("cb"), (F.col("component") == F.col("main")).alias("in_main"))
-    met = few.hint("merge").join(all_, ["t", "key"]).filter("ca <> cb AND (in_main OR a > b)")
-    return met.select(*_pairs("a", "b")).distinct()
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
+                found = [np.frombuffer(x, np.int64) for x in part.column(3).to_pylist()]
+                size = [len(x) for x in found]
+                repeat = [np.repeat(part.column(i).to_numpy(), size) for i in range(3)]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, repeat), pa.array(np.concatenate(found))], names=["c", "component", "n", "token"])
+
+    tokens = cut(open_.select("c", "component", "n", "hashes").mapInArrow(unpack, "c long, component long, n long, token long"))
+    held = tokens.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1")
+    shared = tokens.join(held.hint("merge"), "token")
+    # a document's shingles at most
+    own = W.partitionBy("c")
+    ranked = shared.withColumn("p", F.row_number().over(own.orderBy("df", "token")) - 1 + F.col("n") - F.count("*").over(own))
+    first = cut(ranked.filter(F.col("p") <= F.col("n") - F.ceil(F.col("n") * percent / 100.0 - 1e-9)).select("token", "c", "component", "n", "p"))
+    kept = first.filter(F.col("p") <= F.col("n") - low(F.col("n"), F.col("n"))).withColumn("s", size_class(F.col("n")))
+    kept = kept.select("token", "s", F.col("c").alias("cy"), F.col("component").alias("ky"), F.col("n").alias("ny"), F.col("p").alias("q"))
+    least = F.ceil(F.col("n") * percent / 100.0 - 1e-9)
+    asked = first.withColumn("s", F.explode(F.sequence(size_class(least), size_class(F.col("n")))))
+    asked = asked.filter(F.col("p") <= F.col("n") - low(F.col("n"), F.greatest(least, F.floor(F.pow(F.lit(RATIO), F.col("s"))))))
+    met = asked.join(kept.hint("merge"), ["token", "s"])
+    x, y = F.col("n"), F.col("ny")
+    bound = 1 + F.least(x - F.col("p") - 1, y - F.col("q") - 1)
+    met = met.filter(((y < x) | ((y == x) & (F.col("cy") < F.col("c")))) & (F.col("component") != F.col("ky")) & (bound >= low(x, y)))
+    return met.select(*_pair(F.col("c"), F.col("cy"))).distinct()
 
 
 def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
@@ -240,30 +312,43 @@ def _placed(df: DataFrame, doc_id: str, text: str, words: int, percent: int) ->
 def _place(df: DataFrame, doc_id: str, text: str, words: int, percent: int) -> DataFrame:
     ship(df.sparkSession)
     seen = cut(sketch(df, doc_id, text, words))
-    classes = cut(seen.filter("n > 0").groupBy("digest").agg(F.first("n").alias("n"), F.first("sig").alias("sig"), F.min("id").alias("low"), F.min(F.struct("th", "id")).alias("one")))
-    regions = cut(_neighbours(_orders(classes)))
-    threshold = percent / 100
-
-    first = regions.filter((F.col("t") < FIRST) & F.col("before").isNotNull()).select(*_pairs("digest", "before")).distinct()
-    first = cut(_alike(first, classes, threshold))
-    # whole sets are made for texts of regions with company alone, one text a class
-    some = regions.select("digest").distinct().join(classes.select("digest", F.col("one.th").alias("__h"), F.col("one.id").alias("__i")).hint("merge"), "digest")
+    classes = seen.filter("n > 0").groupBy("digest").agg(F.first("n").alias("n"), F.first("sig").alias("sig"), F.min("id").alias("low"), F.min(F.struct("th", "id")).alias("one"))
+    # a number for each class; it is fixed as the table is written
+    classes = cut(classes.withColumn("c", F.monotonically_increasing_id()))
+    found = cut(_neighbours(_orders(classes)))
+    # only classes with company go on
+    near = cut(classes.join(found.select("c").distinct().hint("merge"), "c", "left_semi").select("c", "digest", "n", "sig", "one"))
     content = F.col(text).cast("string")
     texts = df.select(F.col(doc_id).cast("long").alias("__id"), F.xxhash64(content).alias("__th"), content.alias("__text"))
-    texts = some.hint("merge").join(texts, (F.col("__h") == F.col("__th")) & F.col("__i").eqNullSafe(F.col("__id"))).select("digest", "__text")
-    sets = cut(_sets(texts, words).dropDuplicates(["digest"]))
+    some = near.select("c", "digest", F.col("one.th").alias("__h"), F.col("one.id").alias("__i"))
+    texts = some.hint("merge").join(texts, (F.col("__h") == F.col("__th")) & F.col("__i").eqNullSafe(F.col("__id"))).select("c", "digest", "__text")
+    sets = cut(_sets(texts, words).dropDuplicates(["c"]))
 
-    links = cut(_confirm(first, sets, percent))
-    parts = components(links)
-    open_ = cut(_alike(_across(regions, parts), classes, threshold))
-    # pairs already confirmed or refuted are not tried again
-    open_ = cut(open_.join(first.select("u", "v").hint("merge"), ["u", "v"], "left_anti"))
-    links = cut(links.unionByName(_confirm(open_, sets, percent)))
+    tried = cut(found.filter("before IS NOT NULL").select(*_pair(F.col("c"), F.col("before"))).distinct())
+    links = cut(_confirm(_alike(tried, near, percent), sets, percent))
     parts = components(links)
 
-    low = classes.join(parts.hint("merge"), classes["digest"] == parts["node"], "left").select("digest", F.coalesce("component", "digest").alias("component"), "low")
-    lowest = low.groupBy("component").agg(F.min("low").alias("component_id"))
-    named = salted_lookup(low, lowest, ["component"], F.col("digest"), large=True).select("digest", "component_id")
-    out = salted_lookup(seen.select("id", "th", "n", "digest"), named, ["digest"], F.col("id"), large=True)
+    def more(pairs: DataFrame) -> None:
+        nonlocal links, parts
+        new = cut(_confirm(pairs, sets, percent))
+        if not new.isEmpty():
+            links = parts.select(F.col("node").alias("u"), F.col("component").alias("v")).filter("u <> v").unionByName(new)
+            parts = components(links)
+
+    pairs, dense = _across(found, parts)
+    # pairs already confirmed or refuted are not tried again
+    pairs = cut(pairs.join(tried.hint("merge"), ["u", "v"], "left_anti"))
+    more(_alike(pairs, near, percent))
+    open_ = sets.join(_placed_in(parts, dense.select("c")).hint("merge"), "c")
+    pairs = _closing(open_, percent).join(tried.unionByName(pairs).hint("merge"), ["u", "v"], "left_anti")
+    more(pairs)
+
+    members = parts.join(classes.select(F.col("c").alias("node"), "low").hint("merge"), "node")
+    lowest = members.groupBy("component").agg(F.min("low").alias("component_id"))
+    tops = members.select("node", "component").join(lowest.hint("merge"), "component").select(F.col("node").alias("c"), "component_id", F.lit(True).alias("linked"))
+    named = classes.select("c", "digest", "low").join(tops.hint("merge"), "c", "left")
+    named = named.select("digest", F.when(F.col("linked"), F.col("component_id")).otherwise(F.col("low")).alias("component_id"))
+    # a class may hold a third of all rows; its side is split by the adaptive skew join
+    out = seen.select("id", "th", "n", "digest").join(named.hint("merge"), "digest", "left")
     component = F.when(F.col("digest").isNull(), F.col("id")).otherwise(F.col("component_id"))
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"), "th")

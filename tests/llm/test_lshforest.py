@@ -93,3 +93,23 @@ def test_components(spark):
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
     alone = {a for a, b in edges if a == b and a not in got}
     assert got == {x: top(x) for x in part if x not in alone}
+
+
+def test_dense_neighbourhood(spark, monkeypatch):
+    """More rows than a region holds: copies with few and with many edits, some linked with one other row alone."""
+    monkeypatch.setattr(lshforest, "REGION", 4)
+    random.seed(9)
+    base = [f"w{random.randrange(900)}" for _ in range(150)]
+
+    def edited(words, n):
+        w = list(words)
+        for at in random.sample(range(len(w)), n):
+            w[at] = f"x{random.randrange(10**6)}"
+        return w
+
+    rows = [edited(base, random.choice([0, 1, 2, 3, 5, 7, 9, 12])) for _ in range(150)]
+    rows += [edited(r, 2) for r in rows[-30:]] + [base[: random.randrange(110, 150)] for _ in range(20)]
+    rows = [(i, " ".join(w)) for i, w in enumerate(rows)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = lshforest.near_duplicates(df, words=4).collect()
+    assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got) == plain(rows, 4)
