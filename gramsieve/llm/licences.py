@@ -188,16 +188,17 @@ def scan(df: DataFrame, path: str = "path", text: str = "text", least: float = L
                 yield pa.RecordBatch.from_arrays([*batch.columns, *arrays], names=[*names, "licence", "score", "line"])
 
     p = F.col(path).cast("string")
-    own = df.mapInArrow(run, kind).withColumn("__dir", F.when(p.contains("/"), F.regexp_replace(p, "/[^/]*$", "")).otherwise(F.when(p.isNotNull(), F.lit(""))))
-    small = own.select(p.alias("__p"), "licence", "score", "__dir")
-    small = cut(small.filter(F.col("__dir").isNotNull()).groupBy("__dir").agg(
-        F.max(F.when(F.col("licence").isNotNull() & F.col("__p").rlike(f"(?i)(^|/)({NAMES})(\\.[^/]*)?$"), F.struct("score", "licence"))).alias("best")
-    ))
-    # each directory with all that lie above it, itself included; the root is the empty name
+    folder = F.when(p.contains("/"), F.regexp_replace(p, "/[^/]*$", "")).otherwise(F.when(p.isNotNull(), F.lit("")))
+    own = df.mapInArrow(run, kind).withColumn("__dir", folder)
+    # licence files are told by their names, so only their texts are scanned for this side
+    files = df.filter(p.rlike(f"(?i)(^|/)({NAMES})(\\.[^/]*)?$")).mapInArrow(run, kind).filter("licence IS NOT NULL")
+    bests = cut(files.groupBy(folder.alias("up")).agg(F.max(F.struct("score", "licence")).alias("best")))
+    dirs = df.select(folder.alias("__dir")).filter("__dir IS NOT NULL").distinct()
+    # each directory with all that lie above it, itself included; the root is the empty name and above all, so it is dealt out
     parts = F.split("__dir", "/")
     above = F.transform(F.sequence(F.lit(0), F.size(parts)), lambda i: F.struct(i.alias("depth"), F.array_join(F.slice(parts, 1, i), "/").alias("up")))
-    met = small.select("__dir", F.explode(above).alias("a")).select("__dir", "a.depth", F.col("a.up").alias("up"))
-    met = met.join(small.filter("best IS NOT NULL").select(F.col("__dir").alias("up"), "best"), "up")
+    met = dirs.select("__dir", F.explode(above).alias("a")).select("__dir", "a.depth", F.col("a.up").alias("up"))
+    met = salted_lookup(met, bests, ["up"], F.col("__dir")).filter("best IS NOT NULL")
     near = met.groupBy("__dir").agg(F.max_by(F.struct(F.col("up"), F.col("best.licence").alias("l"), F.col("best.score").alias("s")), "depth").alias("__up"))
     out = salted_lookup(own, near, ["__dir"], F.coalesce(p, F.lit("")))
     mine = F.col("licence").isNotNull()

@@ -4,7 +4,7 @@ Pivots are vectors picked from a bounded sample by seeded hash (``PIVOTS`` of th
 represented by its ``PREFIX`` nearest pivots in order; every vector is posted with its rank in the file of each of them. A
 search adds up, over the files of the query's own nearest pivots, how much nearer each posted vector is than one that shares
 no pivot; that orders vectors by the footrule distance of the two orders, pivots beyond the prefix counting as rank
-``PREFIX``. The best ``SHARE`` of every block of the index, ties included, are reranked by exact distance.
+``PREFIX``. The best ``SHARE`` of every block of the index, at least ``LEAST`` and ties included, are reranked by exact distance.
 
 The index is dealt by a hash of the id into blocks of about ``BLOCK`` vectors, each with inverted files of its own; queries
 come to every block, in blocks as well, so no task holds more than two blocks and no pair of vectors becomes a row.
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from gramsieve.llm.common import cut
 from gramsieve.shipping import ship
 
-PIVOTS, PREFIX, SHARE, LEAST, BLOCK = 256, 64, 0.15, 512, 8192
+PIVOTS, PREFIX, SHARE, LEAST, BLOCK = 256, 64, 0.15, 160, 8192
 
 
 def usable(df: DataFrame, vec_id: str, vector: str) -> DataFrame:
@@ -71,7 +71,7 @@ class _Files:
         return self.ids[rows[top]], far[top]
 
 
-def search(df: DataFrame, is_query: Column, k: int = 10, vec_id: str = "vec_id", vector: str = "embedding", pivots: int = PIVOTS, prefix: int = PREFIX, share: float = SHARE, seed: int = 0) -> DataFrame:
+def search(df: DataFrame, is_query: Column, k: int = 10, vec_id: str = "vec_id", vector: str = "embedding", pivots: int = PIVOTS, prefix: int = PREFIX, share: float = SHARE, block: int = BLOCK, seed: int = 0) -> DataFrame:
     """The k nearest found of each row for which ``is_query`` holds: query_id, rank, vec_id and score (Euclidean distance)."""
     schema = "query_id long, rank int, vec_id long, score double"
     spark = df.sparkSession
@@ -84,7 +84,7 @@ def search(df: DataFrame, is_query: Column, k: int = 10, vec_id: str = "vec_id",
     chosen = all_.orderBy(F.xxhash64(F.lit(seed), "id"), "id").limit(pivots).collect()
     frame = np.array([r["v"] for r in chosen], np.float64)
     prefix = min(prefix, len(frame))
-    blocks = max(1, -(-lengths["c"] // BLOCK))
+    blocks = max(1, -(-lengths["c"] // block))
 
     def packed(x: DataFrame, n: int, salt: int, name: str) -> DataFrame:
         """Vectors of a block in one row, by id; blocks are of bounded size as ids are dealt by hash."""

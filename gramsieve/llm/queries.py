@@ -75,11 +75,11 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = warc.archive(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
     page = r"^<urn:page:(-?\d+)>$"
     return records.select(
-        F.regexp_extract("record_id", page, 1).cast("long").alias("page_id"),
+        F.regexp_extract("record_id", page, 1).try_cast("long").alias("page_id"),
         "payload_bytes",
         "payload_digest",
         "record_type",
-        F.when(F.col("refers_to").isNotNull(), F.regexp_extract("refers_to", page, 1).cast("long")).alias("refers_to"),
+        F.regexp_extract("refers_to", page, 1).try_cast("long").alias("refers_to"),
     )
 
 
@@ -136,7 +136,14 @@ def op7_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = suffixes.repeated_passages(table(spark, sf_dir, "documents").select("doc_id", "text"), span=400)
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + x["e"] - x["s"])
     return suffixes.without_spans(found).select(
-        "doc_id", F.length("content").cast("long").alias("n_bytes"), removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
+        "doc_id",
+        F.length("content").cast("long").alias("n_bytes"),
+        removed.alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+        # what is left in characters, as documents.n_chars counts them, and whether something went
+        F.char_length(F.col("kept").cast("string")).cast("long").alias("kept_chars"),
+        (F.size("spans") > 0).alias("has_repeats"),
     )
 
 
@@ -185,8 +192,13 @@ SELECT doc_id, n_lines, n_dropped, CAST(strlen(kept) AS BIGINT) AS kept_bytes, s
 
 
 def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents have no paths; a source is a directory here, and a language one below it."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string")).alias("path"))
+    """Documents have no paths; a source is a directory here, a language one below it with a folder for every 16 ids. Each
+    sixteenth document plays the licence file of its source, language or folder in turn, so that the others can inherit."""
+    at = F.col("doc_id")
+    name = F.when(at % 16 != 0, F.concat(at.cast("string"), F.lit(".txt"))).otherwise("LICENSE")
+    folder = F.when(at % 16 != 0, F.floor(at / 16)).when(at % 48 == 0, F.floor(at / 16))
+    lang = F.when((at % 16 != 0) | (at % 48 != 16), F.col("lang"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.concat_ws("/", "source", lang, folder.cast("string"), name).alias("path"))
     return licences.scan(docs).select("doc_id", "path", "licence", "score", "line", "origin", "origin_dir")
 
 

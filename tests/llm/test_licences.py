@@ -2,7 +2,7 @@ import math
 import re
 from collections import Counter
 
-from gramsieve.llm import licences
+from gramsieve.llm import licences, queries
 
 ROWS = [
     ("a/LICENSE", "Released under the MIT License."),
@@ -58,3 +58,13 @@ def test_scores_against_brute_force_and_inheritance(spark):
 
 def test_empty_table(spark):
     assert licences.scan(spark.createDataFrame([], "path string, text string")).count() == 0
+
+
+def test_query_inherits(spark, tmp_path):
+    """The query's paths: a source's, a language's and a folder's licence file, and documents below them."""
+    rows = [(i, "Licensed under the MIT License." if i in (0, 16, 32) else "plain words", "s", "en") for i in range(50)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r for r in queries.op10_licences(spark, str(tmp_path)).collect()}
+    assert len(got) == 50 and {r.origin for r in got.values()} == {"own", "inherited"}
+    assert (got[0].path, got[16].path, got[32].path) == ("s/en/0/LICENSE", "s/LICENSE", "s/en/LICENSE")
+    assert [(got[i].origin, got[i].origin_dir) for i in (0, 1, 17, 33, 48)] == [("own", "s/en/0"), ("inherited", "s/en/0"), ("inherited", "s/en"), ("inherited", "s/en"), ("inherited", "s/en")]

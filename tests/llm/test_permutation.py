@@ -39,3 +39,17 @@ def test_odd_vectors_ties_and_few_rows(spark):
 
 def test_empty_table(spark):
     assert permutation.search(spark.createDataFrame([], "vec_id long, embedding array<float>"), F.lit(True)).count() == 0
+
+
+def test_several_blocks(spark):
+    """Many blocks, none of which is ranked whole."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(8000, 24)) + 2 * rng.normal(size=(30, 24))[rng.integers(0, 30, 8000)]
+    ids = np.arange(8000)
+    df = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x)], "vec_id long, embedding array<double>")
+    assert 8000 / 7 * permutation.SHARE >= permutation.LEAST
+    got = {}
+    for r in permutation.search(df, F.col("vec_id") % 100 == 0, block=1200).collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    hits = sum(len(set(near) & {v for v, _ in exact(ids, x, q)}) for q, near in got.items())
+    assert len(got) == 80 and hits / 800 >= 0.9

@@ -3,7 +3,7 @@ import gzip
 import hashlib
 import random
 
-from gramsieve.llm import warc
+from gramsieve.llm import queries, warc
 
 
 def pages():
@@ -72,3 +72,10 @@ def test_magic_inside_a_member_and_at_the_end_of_a_range():
 
 def test_empty_table(spark):
     assert warc.archive(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_query_with_a_null_id(spark, tmp_path):
+    rows = [(None, "u", "x" * 1200), (4, "u", "x" * 1200), (None, None, None), (7, None, "short")]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = sorted(((r.page_id or -1, r.payload_bytes, r.record_type, r.refers_to) for r in queries.op4_warc(spark, str(tmp_path)).collect()), key=str)
+    assert got == sorted([(-1, 1200, "revisit", 4), (4, 1200, "response", None), (-1, 0, "response", None), (7, 5, "response", None)], key=str)
