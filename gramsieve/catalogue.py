@@ -11,7 +11,7 @@ from gramsieve.functions.grams import explode_grams, sparse_covering, trigrams
 from gramsieve.operators import budgets, search
 from gramsieve.operators.index import Index, bitmaps, posting_sizes
 from gramsieve.plans import planner
-from gramsieve.sources.corpus import Walk, ignored, keep_files, parse_name_status, parse_porcelain
+from gramsieve.sources.corpus import ignored, keep_files, parse_name_status, parse_porcelain
 from gramsieve.streaming import delta
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -274,13 +274,13 @@ def sparse_covering_subset_check(spark, sf_dir):
 @query("SELECT page_id AS path FROM pages WHERE NOT contains(html, chr(0)) AND strlen(html) <= 1048576")
 def binary_filter(spark, sf_dir):
     files = corpus(spark, sf_dir, PAGES).select("path", F.octet_length("text").alias("length"), F.col("text").cast("binary").alias("content"))
-    return keep_files(files, Walk(include_hidden=True)).select("path")
+    return keep_files(files, hidden=True).select("path")
 
 
 @query("SELECT doc_id AS path, CAST(strlen(text) AS BIGINT) AS n_bytes FROM documents WHERE strlen(text) <= 1000")
 def size_filter(spark, sf_dir):
     files = corpus(spark, sf_dir).select("path", F.octet_length("text").cast("long").alias("length"), F.col("text").cast("binary").alias("content"))
-    return keep_files(files, Walk(max_file_size=1000, include_hidden=True)).select("path", F.col("length").alias("n_bytes"))
+    return keep_files(files, largest=1000, hidden=True).select("path", F.col("length").alias("n_bytes"))
 
 
 _PATHS = "CASE WHEN doc_id % 5 = 0 THEN '.cache/' ELSE 'src/' END || CASE WHEN doc_id % 7 = 0 THEN 'tmp/' ELSE '' END || doc_id || CASE WHEN doc_id % 3 = 0 THEN '.log' ELSE '.txt' END"

@@ -6,16 +6,21 @@ is never gathered into one row.
 
 from __future__ import annotations
 
+import time
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gramsieve.functions.grams import explode_grams
-from gramsieve.operators.search import find_matches, matching_files
+from gramsieve.operators.search import find_matches, matching_files, scan_stats
 from gramsieve.plans import literals as L
-from gramsieve.plans.planner import Override, Plan, plan
+from gramsieve.plans.planner import Override, Plan, by_frequency, plan
 
-VERSION = 2
+VERSION = 3
 
 
 class IndexError_(Exception):
@@ -23,31 +28,71 @@ class IndexError_(Exception):
 
 
 def postings_of(files: DataFrame, file_id: str = "file_id", content: str = "text", sparse: bool = True) -> DataFrame:
-    """(gram, file_id), each once; sparse grams hold all trigrams, so both strategies find their grams."""
-    out = explode_grams(files, file_id, content)
-    return out.unionByName(explode_grams(files, file_id, content, sparse=True)).distinct() if sparse else out
-
-
-def number_files(corpus: DataFrame, path: str = "path") -> DataFrame:
-    """Adds dense ids in order of path, without a window over the whole table: offsets of sorted partitions."""
-    dealt = corpus.repartitionByRange(path).sortWithinPartitions(path).withColumn("__p", F.spark_partition_id()).withColumn("__i", F.monotonically_increasing_id())
-    parts = dealt.groupBy("__p").agg(F.count("*").alias("__n"), F.min("__i").alias("__low"))
-    parts = parts.withColumn("__from", F.coalesce(F.sum("__n").over(W.orderBy("__p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    return dealt.join(parts, "__p").withColumn("file_id", (F.col("__from") + F.col("__i") - F.col("__low")).cast("long")).drop("__p", "__i", "__n", "__low", "__from")
+    """(gram, file_id), each once. Sparse grams hold all trigrams, as nothing lies between two pairs side by side, so both
+    strategies find their grams among them."""
+    return explode_grams(files, file_id, content, sparse)
+
+
+def number_files(corpus: DataFrame, path: str = "path", ranges: int | None = None) -> DataFrame:
+    """Adds dense ids from 0 in order of path; rows of one path are numbered next to each other, by their other columns' hash.
+
+    Paths are dealt over ranges between bounds from a sample. The range of a path follows from its name alone, so counts and
+    places agree however often and wherever Spark plans them; a range is numbered by one task, and ``ranges`` (the session's
+    shuffle partitions) grows with the cluster. Rows without a path come first.
+    """
+    spark = corpus.sparkSession
+    ranges = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    p = F.col(path).cast("string")
+    # a bounded sample, by hash, as a few names a range are enough
+    sample = corpus.select(p.alias("p")).filter("p IS NOT NULL").distinct().orderBy(F.xxhash64("p"), "p").limit(20 * ranges).collect()
+    sample = sorted((r.p for r in sample), key=str.encode)
+    bounds = sorted({sample[k * len(sample) // ranges] for k in range(1, ranges)}, key=str.encode) if sample else []
+    at = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= p)) if bounds else F.lit(0)
+    dealt = corpus.withColumn("__r", F.when(p.isNull(), -1).otherwise(at))
+    counts, before, total = {r["__r"]: r["n"] for r in dealt.groupBy("__r").agg(F.count("*").alias("n")).collect()}, [], 0
+    for r in sorted(counts):
+        before += [F.lit(r), F.lit(total)]
+        total += counts[r]
+    within = W.partitionBy("__r").orderBy(p, F.xxhash64(*corpus.columns))
+    start = F.create_map(*before)[F.col("__r")] if before else F.lit(0)
+    return dealt.withColumn("file_id", (F.row_number().over(within) - 1 + start).cast("long")).drop("__r")
+
+
+def files_of(files: DataFrame, file_id: str = "file_id", path: str = "path", content: str = "text") -> DataFrame:
+    """(file_id, path, n_bytes, hash): an index's table of files."""
+    return files.select(F.col(file_id).cast("long").alias("file_id"), F.col(path).cast("string").alias("path"), F.octet_length(content).cast("long").alias("n_bytes"), F.xxhash64(content).alias("hash"))
 
 
 def build(files: DataFrame, target: str, file_id: str = "file_id", path: str = "path", content: str = "text", base: str | None = None, sparse: bool = True) -> None:
     """Writes files, postings, grams and a manifest under ``target``."""
+    write(files_of(files, file_id, path, content), postings_of(files, file_id, content, sparse), target, sparse, base)
+
+
+def write(files: DataFrame, postings: DataFrame, target: str, sparse: bool, base: str | None = None) -> None:
+    """Writes the tables of an index: postings in order of gram, so that a lookup prunes row groups."""
     spark = files.sparkSession
-    files.select(F.col(file_id).cast("long").alias("file_id"), F.col(path).cast("string").alias("path"), F.octet_length(content).cast("long").alias("n_bytes"), F.xxhash64(content).alias("hash")).write.mode("overwrite").parquet(f"{target}/files")
-    postings = postings_of(files, file_id, content, sparse)
+    files.write.mode("overwrite").parquet(f"{target}/files")
     postings.repartitionByRange("gram", "file_id").sortWithinPartitions("gram", "file_id").write.mode("overwrite").parquet(f"{target}/postings")
     saved = spark.read.parquet(f"{target}/postings")
-    grams = saved.groupBy("gram").agg(F.count("*").alias("df")).withColumn("is_sparse", F.length("gram") != 3)
+    grams = saved.groupBy("gram").agg(F.count("*").alias("df")).withColumn("is_sparse", F.lit(sparse))
     grams.repartitionByRange("gram").sortWithinPartitions("gram").write.mode("overwrite").parquet(f"{target}/grams")
-    counts = spark.read.parquet(f"{target}/files").agg(F.count("*").alias("file_count"), F.sum("n_bytes").alias("source_bytes"))
-    sums = spark.read.parquet(f"{target}/grams").agg(F.count("*").alias("ngram_count"), F.sum("df").alias("posting_count"), F.sum(F.xxhash64("gram", "df").cast("decimal(38,0)")).alias("checksum"))
-    counts.join(sums).select(F.lit(VERSION).alias("version"), F.lit(sparse).alias("sparse"), "*", F.lit(base).cast("string").alias("base_commit")).write.mode("overwrite").parquet(f"{target}/manifest")
+    counts = spark.read.parquet(f"{target}/files").agg(F.count("*").alias("file_count"), F.sum("n_bytes").alias("source_bytes"), _checksum("file_id", "path", "n_bytes").alias("files_checksum"))
+    sums = spark.read.parquet(f"{target}/grams").agg(F.count("*").alias("ngram_count"), F.sum("df").alias("posting_count"), _checksum("gram", "df").alias("checksum"))
+    lists = saved.agg(_checksum("gram", "file_id").alias("postings_checksum"))
+    counts.join(sums).join(lists).select(F.lit(VERSION).alias("version"), F.lit(sparse).alias("sparse"), "*", F.lit(base).cast("string").alias("base_commit")).write.mode("overwrite").parquet(f"{target}/manifest")
+
+
+def _checksum(*columns: str) -> Column:
+    """A checksum of rows in any order."""
+    return F.sum(F.xxhash64(*columns).cast("decimal(38,0)"))
+
+
+def replace(spark: SparkSession, source: str, target: str) -> None:
+    """Puts a complete index in the place of another."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(source).getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.delete(path(target), True)
+    fs.rename(path(source), path(target))
 
 
 class Index:
@@ -55,25 +100,39 @@ class Index:
 
     def __init__(self, files: DataFrame, postings: DataFrame, grams: DataFrame | None = None, sparse: bool = False):
         self.files, self.postings, self.sparse = files, postings, sparse
-        self.grams = postings.groupBy("gram").agg(F.count("*").alias("df")).withColumn("is_sparse", F.length("gram") != 3) if grams is None else grams
+        self.grams = postings.groupBy("gram").agg(F.count("*").alias("df")).withColumn("is_sparse", F.lit(sparse)) if grams is None else grams
 
     @classmethod
     def open(cls, spark: SparkSession, target: str, check: bool = True) -> Index:
-        """Checks version, counts and checksum against the manifest."""
+        """Checks the version, and with ``check`` the counts and checksums of all tables against the manifest, which reads them."""
         manifest = spark.read.parquet(f"{target}/manifest").head()
         if manifest is None or manifest["version"] > VERSION:
             raise IndexError_(f"{target}: version {manifest and manifest['version']}; this code reads up to {VERSION}")
         out = cls(*(spark.read.parquet(f"{target}/{t}") for t in ("files", "postings", "grams")), sparse=manifest["sparse"])
         if check:
-            seen = out.grams.agg(F.count("*"), F.sum(F.xxhash64("gram", "df").cast("decimal(38,0)"))).head()
-            if tuple(seen) != (manifest["ngram_count"], manifest["checksum"]):
-                raise IndexError_(f"{target}: the gram table does not match the manifest")
+            seen = {
+                "gram": (out.grams.agg(F.count("*"), _checksum("gram", "df")), ("ngram_count", "checksum")),
+                "file": (out.files.agg(F.count("*"), _checksum("file_id", "path", "n_bytes")), ("file_count", "files_checksum")),
+                "posting": (out.postings.agg(F.count("*"), _checksum("gram", "file_id")), ("posting_count", "postings_checksum")),
+            }
+            for name, (sums, keys) in seen.items():
+                if tuple(sums.head()) != tuple(manifest[k] or 0 if k.endswith("count") else manifest[k] for k in keys):
+                    raise IndexError_(f"{target}: the {name} table does not match the manifest")
         return out
 
     def lookup(self, grams: list[bytes]) -> DataFrame:
         """(gram, file_id) of some grams; an unknown gram has none."""
         return self.postings.filter(F.col("gram").isin([bytearray(g) for g in grams])) if grams else self.postings.limit(0)
 
+    def path_of(self, ids: DataFrame) -> DataFrame:
+        """(file_id, path) of some ids; an unknown one has none."""
+        return self.files.select("file_id", "path").join(ids.select("file_id"), "file_id", "left_semi")
+
+    def frequencies(self, grams: list[bytes]) -> dict[bytes, int]:
+        """In how many files each of a pattern's grams is; a few rows of the gram table."""
+        some = self.grams.filter(F.col("gram").isin([bytearray(g) for g in grams])) if grams else self.grams.limit(0)
+        return {bytes(r["gram"]): r["df"] for r in some.select("gram", "df").collect()}
+
     def contains(self, gram: bytes) -> bool:
         return not self.lookup([gram]).isEmpty()
 
@@ -98,7 +157,20 @@ class Index:
         return held.filter(L.holds(chosen.tree, lambda g: F.col(names[g]))).select("file_id")
 
     def plan(self, pattern: str, override: Override = Override.AUTO) -> Plan:
-        return plan(pattern, override if self.sparse else Override.TRIGRAM)
+        """The plan that is cheapest by the files that hold its grams; unless it is forced, both strategies' grams are looked up."""
+        override = override if self.sparse else Override.TRIGRAM
+        if override is not Override.AUTO:
+            return plan(pattern, override)
+        grams = {g for o in (Override.TRIGRAM, Override.SPARSE) for g in plan(pattern, o).grams}
+        if not grams:
+            return plan(pattern, override)
+        return plan(pattern, override, by_frequency(self.frequencies(sorted(grams)), self.files.count(), absent=0.0))
+
+    def counts(self) -> DataFrame:
+        """One row: files, their bytes, grams, those that the sparse extractor gives and those of the trigram extractor alone."""
+        files = self.files.agg(F.count("*").alias("file_count"), F.coalesce(F.sum("n_bytes"), F.lit(0)).alias("source_bytes"))
+        grams = self.grams.agg(F.count("*").alias("ngram_count"), F.count_if("is_sparse").alias("sparse_count"), F.count_if(~F.col("is_sparse")).alias("trigram_only_count"))
+        return files.join(grams)
 
     def stats(self) -> DataFrame:
         """Gram counts by kind and the distribution of list sizes: nearest rank, floored; zeros if empty."""
@@ -137,6 +209,19 @@ class Index:
         return matching_files(corpus.join(ids, corpus[file_id] == F.col("__f"), "left_semi"), pattern, path, text)
 
 
+    def search_counted(self, corpus: DataFrame, pattern: str, override: Override = Override.AUTO, file_id: str = "file_id", text: str = "text") -> DataFrame:
+        """One row about a search: strategy, lookups, all files, candidates, their bytes, files that match, matches, and the
+        seconds that planning took and that the row took to make."""
+        began = time.perf_counter()
+        chosen = self.plan(pattern, override)
+        planned = time.perf_counter() - began
+        ids = self.candidates(chosen).withColumnRenamed("file_id", "__f")
+        met = corpus.join(ids, corpus[file_id] == F.col("__f"), "left_semi")
+        counted = scan_stats(met, pattern, text=text).head()
+        row = (str(chosen.strategy), chosen.lookups, self.files.count(), counted["files_scanned"], counted["bytes_scanned"] or 0, counted["files_matched"], counted["matches"] or 0, planned, time.perf_counter() - began)
+        return corpus.sparkSession.createDataFrame([row], "strategy string, lookups long, files long, candidates long, bytes_read long, files_matched long, matches long, plan_seconds double, seconds double")
+
+
 def varint_length(x: Column) -> Column:
     """Bytes of a number in groups of 7 bits."""
     return F.when(x < 1 << 7, 1).when(x < 1 << 14, 2).when(x < 1 << 21, 3).when(x < 1 << 28, 4).otherwise(5)
@@ -152,6 +237,76 @@ def posting_sizes(postings: DataFrame) -> DataFrame:
     )
 
 
+#: Forms of an encoded list: differences of 4 bytes, differences of 7 bits a byte, a bitmap.
+FIXED, VARINT, BITMAP = 1, 2, 3
+
+
+def _varints(gaps: np.ndarray) -> bytes:
+    """Numbers of up to 35 bits, low groups of 7 bits first; all but a number's last byte have the high bit."""
+    groups = (gaps[:, None] >> np.arange(0, 35, 7)) & 127
+    n = np.maximum(1, (gaps[:, None] >= (1 << np.arange(0, 35, 7))).sum(axis=1))
+    place = np.arange(5)
+    return (groups | np.where(place < n[:, None] - 1, 128, 0))[place < n[:, None]].astype(np.uint8).tobytes()
+
+
+def _numbers(data: bytes) -> np.ndarray:
+    b = np.frombuffer(data, np.uint8).astype(np.int64)
+    last = np.flatnonzero(b < 128)
+    start = np.append(0, last[:-1] + 1)
+    place = np.arange(len(b)) - np.repeat(start, last - start + 1)
+    return np.add.reduceat((b & 127) << (7 * place), start) if len(b) else np.zeros(0, np.int64)
+
+
+def encode_postings(postings: DataFrame, form: int | None = None) -> DataFrame:
+    """(gram, bucket, n, data): lists of files in blocks of 32 768 ids, as a tag of one byte and a body in the given form, or in
+    the shortest. A block is of bounded size however frequent its gram is."""
+    span = 1 << 15
+
+    def body(ids: np.ndarray, kind: int) -> bytes:
+        gaps = np.diff(ids, prepend=0)
+        if kind == FIXED:
+            return bytes([FIXED]) + gaps.astype("<u4").tobytes()
+        if kind == VARINT:
+            return bytes([VARINT]) + _varints(gaps)
+        bits = np.zeros(span, np.uint8)
+        bits[ids] = 1
+        return bytes([BITMAP]) + np.packbits(bits, bitorder="little").tobytes()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = [np.array(x, np.int64) for x in batch.column(2).to_pylist()]
+            data = [body(x, form) if form else min((body(x, k) for k in (VARINT, BITMAP)), key=len) for x in lists]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(x) for x in lists], pa.int64()), pa.array(data, pa.binary())], names=["gram", "bucket", "n", "data"])
+
+    place = F.pmod("file_id", F.lit(span)).alias("place")
+    blocks = postings.select("gram", F.floor(F.col("file_id") / span).alias("bucket"), place).groupBy("gram", "bucket").agg(F.sort_array(F.collect_set("place")).alias("places"))
+    return blocks.mapInArrow(run, "gram binary, bucket long, n long, data binary")
+
+
+def decode_postings(blocks: DataFrame) -> DataFrame:
+    """(gram, file_id) of encoded blocks; an empty block or one with an unknown tag holds nothing."""
+
+    def places(data: bytes) -> np.ndarray:
+        kind, rest = data[:1], data[1:]
+        if kind == bytes([FIXED]):
+            return np.cumsum(np.frombuffer(rest[: len(rest) // 4 * 4], "<u4").astype(np.int64))
+        if kind == bytes([VARINT]):
+            return np.cumsum(_numbers(rest))
+        if kind == bytes([BITMAP]):
+            return np.flatnonzero(np.unpackbits(np.frombuffer(rest, np.uint8), bitorder="little"))
+        return np.zeros(0, np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 64):
+                part = batch.slice(i, 64)
+                found = [places(x or b"") + (b << 15) for x, b in zip(part.column(2).to_pylist(), part.column(1).to_pylist(), strict=True)]
+                grams = part.column(0).take(pa.array(np.repeat(np.arange(len(found)), [len(x) for x in found])))
+                yield pa.RecordBatch.from_arrays([grams, pa.array(np.concatenate(found).astype(np.int64))], names=["gram", "file_id"])
+
+    return blocks.select("gram", "bucket", "data").mapInArrow(run, "gram binary, file_id long")
+
+
 def bitmaps(postings: DataFrame, by: list[str]) -> DataFrame:
     """(…, bucket, bitmap): files as bitmaps of 32 768 ids; ids are moved by one, as buckets count from 1."""
     x = F.col("file_id") + 1

@@ -5,18 +5,22 @@ from pyspark.sql import functions as F
 
 from gramsieve.functions import grams
 from gramsieve.operators import index as ix
-from gramsieve.operators.search import find_matches
+from gramsieve.operators.search import find_matches, verify
 from gramsieve.plans import planner
-from gramsieve.streaming import delta
 
+#: Poems of a made-up garden: names that recur, repeated marks, an empty file, one without line ends, letters beyond ASCII.
 FILES = [
-    ("lib.rs", "pub const MAX_FILE_SIZE: usize = 1024;\npub fn parse_config() -> bool { true }\n"),
-    ("main.rs", 'fn main() {\n    let x = MAX_FILE_SIZE;\n    println!("hello world");\n}\n'),
-    ("src/handler.rs", "pub fn handle_request() {}\npub fn handle_response() {}\n"),
-    ("src/util.rs", "use std::collections::HashMap;\nfn helper(x: u32) -> u32 { x + 1 }\npub fn serialize_data() {}\n"),
-    ("src/z.rs", ""),
+    ("beds/rose.txt", "red rose, rose tree\nprune_late(march)\n----- end -----\n"),
+    ("beds/tulip.txt", "bulbs: 40\nplant_early(october); plant_deep(12)\n"),
+    ("notes", "Überwinterung im Gewächshaus\n    four spaces\n"),
+    ("tools/empty.txt", ""),
+    ("tools/rake.txt", "rake;rake;rake"),
+    ("tools/spade.txt", "depth = 12\ndepth = 30\nROSE spade"),
 ]
-PATTERNS = ["MAX_FILE_SIZE", "fn main", "parse_config|serialize_data", "func_[0-9]+", "handle_.*", r"\bfn\b", r"fn \w+\([^)]*\)", "(?m)^pub ", "ZZZNONEXISTENT999", "colou?r", "(foo|bar)baz", "(?i)HELLO", "x|handle_re(quest|sponse)"]
+PATTERNS = [
+    "rose", "(?i)rose", "rose tree|spade", r"plant_\w+\(", r"(?m)^depth = \d+$", r"\d{2}", "-----", "    ", "Gew(ä|ae)chshaus", "ra(ke;)+", "nothing of the kind",
+    "prune_(late|early)", "(?:red |ROSE )?rose|spade", r"\bim\b", "b[aeu]lbs: 40|bulbs",
+]
 
 
 @pytest.fixture(scope="module")
@@ -35,6 +39,15 @@ def test_ids_follow_paths(corpus):
     assert [(r.file_id, r.path) for r in corpus.orderBy("file_id").collect()] == list(enumerate(p for p, _ in sorted(FILES)))
 
 
+def test_ids_of_many_wide_files(spark):
+    """Wide rows, for which Spark joins small partitions; equal paths and none."""
+    df = spark.range(400).select(F.when(F.col("id") % 50 != 7, F.concat(F.lit("d/"), F.col("id") % 333)).alias("path"), F.repeat(F.sha2(F.col("id").cast("string"), 256), 600).alias("text"))
+    got = ix.number_files(df.repartition(13), ranges=9).select("path", "file_id").orderBy("file_id").collect()
+    assert [r.file_id for r in got] == list(range(400))
+    assert [r.path for r in got] == sorted((r.path for r in got), key=lambda p: (p is not None, p or ""))
+    assert ix.number_files(df.limit(0)).count() == 0
+
+
 def test_search_equals_scan(corpus, index):
     for p in PATTERNS:
         want = sorted(find_matches(corpus, p).collect())
@@ -42,24 +55,56 @@ def test_search_equals_scan(corpus, index):
             assert sorted(index.search(corpus, p, override).collect()) == want, (p, override)
 
 
-def test_lookups(index):
-    assert index.contains(b"MAX") and not index.contains(b"QQQ")
-    assert index.all_of([]).count() == 5 and index.any_of([]).count() == 0
-    assert {r.file_id for r in index.all_of([b"MAX", b"pub"]).collect()} == {0}
-    assert {r.file_id for r in index.any_of([b"MAX", b"Has"]).collect()} == {0, 1, 3}
+def test_lookups(spark, index):
+    assert index.contains(b"ros") and not index.contains(b"QQQ")
+    assert index.all_of([]).count() == 6 and index.any_of([]).count() == 0
+    assert {r.file_id for r in index.all_of([b"ros", b"red"]).collect()} == {0}
+    assert {r.file_id for r in index.any_of([b"rak", b"ROS"]).collect()} == {4, 5}
+    assert [r.path for r in index.path_of(spark.createDataFrame([(2,), (99,)], "file_id long")).collect()] == ["notes"]
+    assert index.frequencies([b"ros", b"QQQ"]) == {b"ros": 1}
+    n = index.grams.count()
+    counts = index.counts().head()
+    assert (counts.file_count, counts.source_bytes, counts.ngram_count, counts.sparse_count, counts.trigram_only_count) == (6, sum(len(t.encode()) for _, t in FILES), n, n, 0)
+
 
+def test_counted_search_and_verification(corpus, index):
+    row = index.search_counted(corpus, "rose", planner.Override.TRIGRAM).head()
+    assert (row.strategy, row.lookups, row.files, row.candidates, row.files_matched, row.matches) == ("trigram", 2, 6, 1, 1, 2)
+    assert row.bytes_read == len(FILES[0][1].encode()) and 0 <= row.plan_seconds <= row.seconds
+    assert {r.file_id for r in verify(corpus, "12").collect()} == {1, 5} and verify(corpus, "[bad").count() == 0
 
-def test_bad_version_and_checksum(spark, corpus, tmp_path):
+
+def test_damage_is_found(spark, corpus, tmp_path):
     target = str(tmp_path / "i")
     ix.build(corpus, target, sparse=False)
-    assert not ix.Index.open(spark, target).sparse
-    spark.createDataFrame([(bytearray(b"abc"), 1, False)], "gram binary, df long, is_sparse boolean").write.mode("overwrite").parquet(f"{target}/grams")
-    with pytest.raises(ix.IndexError_):
-        ix.Index.open(spark, target)
-    spark.read.parquet(f"{target}/manifest").withColumn("version", F.lit(9)).write.parquet(f"{target}/m2")
+    opened = ix.Index.open(spark, target)
+    assert not opened.sparse and opened.counts().head().sparse_count == 0
+    rows = {"postings": opened.postings.limit(5), "files": opened.files.limit(2), "grams": opened.grams.limit(1)}
+    rows = {name: spark.createDataFrame(few.collect(), few.schema) for name, few in rows.items()}
+    for name, few in rows.items():
+        ix.build(corpus, target, sparse=False)
+        few.write.mode("overwrite").parquet(f"{target}/{name}")
+        with pytest.raises(ix.IndexError_):
+            ix.Index.open(spark, target)
+    spark.read.parquet(f"{target}/manifest").withColumn("version", F.lit(99)).write.parquet(f"{target}/m2")
     spark.read.parquet(f"{target}/m2").write.mode("overwrite").parquet(f"{target}/manifest")
     with pytest.raises(ix.IndexError_):
-        ix.Index.open(spark, target)
+        ix.Index.open(spark, target, check=False)
+
+
+def test_encoded_lists(spark):
+    random.seed(8)
+    ids = {b"few": [0], b"gap": [0, 127, 128, 20_000, 32_767, 32_768, 2_500_000], b"all": list(range(40_000)), b"any": sorted(random.sample(range(200_000), 3000))}
+    postings = spark.createDataFrame([(bytearray(g), i) for g, x in ids.items() for i in x], "gram binary, file_id long")
+    want = sorted((g, i) for g, x in ids.items() for i in x)
+    for form in (None, ix.FIXED, ix.VARINT, ix.BITMAP):
+        blocks = ix.encode_postings(postings, form)
+        assert sorted((bytes(r.gram), r.file_id) for r in ix.decode_postings(blocks).collect()) == want
+        assert form is None or {bytes(r.data)[0] for r in blocks.collect()} == {form}
+    sizes = {(bytes(r.gram), r.bucket): (r.n, len(r.data)) for r in ix.encode_postings(postings).collect()}
+    assert sizes[(b"few", 0)] == (1, 2) and sizes[(b"all", 0)] == (32768, 4097)
+    odd = spark.createDataFrame([(bytearray(b"x"), 0, bytearray(b"")), (bytearray(b"y"), 0, bytearray(b"\x09abc"))], "gram binary, bucket long, data binary")
+    assert ix.decode_postings(odd).count() == 0
 
 
 def test_sparse_grams():
@@ -70,43 +115,23 @@ def test_sparse_grams():
         b = random.randint(a, len(t))
         w = grams.pair_weights(t)
         plain = {t[i : j + 2] for i in range(len(w)) for j in range(i, len(w)) if j <= i + 1 or min(w[i], w[j]) > max(w[i + 1 : j])}
-        assert set(grams.sparse_all(t)) == plain
+        assert set(grams.sparse_all(t)) == plain and set(grams.trigrams(t)) <= plain
         literal, cover = t[a:b], grams.sparse_covering(t[a:b])
         assert set(cover) <= plain
         assert all(any(literal[i : i + 2] in g for g in cover) for i in range(len(literal) - 1))
 
 
-def test_plans():
-    p = planner.plan("enum AgentMode", planner.Override.TRIGRAM)
-    assert p.lookups == 12 and abs(p.cost - 13.44) < 1e-9
+def test_plans(index):
+    p = planner.plan("spring garden", planner.Override.TRIGRAM)
+    assert p.lookups == 11 and abs(p.cost - 11 * 1.12) < 1e-9
     assert planner.plan(r"\d{3}").lookups == 0 and planner.plan(r"\d{3}", planner.Override.SPARSE).strategy is planner.Strategy.TRIGRAM
     assert planner.by_frequency({b"abc": 5}, 10)(b"abc") == 0.5 and planner.by_frequency({}, 10)(b"abc") == 1.0
+    # the index's own plan goes by its frequencies: every gram is in one file of six
+    own = index.plan("rose tree")
+    assert abs(own.cost - own.lookups * (1 / 6 + planner.LOOKUP)) < 1e-9
 
 
 def test_empty_corpus(spark):
     none = spark.createDataFrame([], "file_id long, path string, text string")
     i = ix.Index(none, ix.postings_of(none))
     assert i.stats().head().asDict() == {"ngram_count": 0, "mean_df": 0.0, "median_df": 0, "p95_df": 0, "p99_df": 0, "max_df": 0, "over_1000": 0, "over_10000": 0}
-
-
-def test_overlay_equals_merged_snapshot(corpus, index):
-    spark = corpus.sparkSession
-    changes = spark.createDataFrame(
-        [("main.rs", "M", "fn main() { MAX_FILE_SIZE }", 1), ("main.rs", "M", "fn main() { MAX_FILE_SIZE; FRESH }", 2), ("lib.rs", "D", None, 1), ("new.rs", "A", "fn FRESH() {}", 1), ("gone.rs", "A", "fn x", 1), ("gone.rs", "D", None, 2)], delta.CHANGE
-    )
-    snapshot = delta.merged(corpus, changes)
-    for p in ["MAX_FILE_SIZE", "FRESH", "fn", "handle_.*"]:
-        want = sorted(find_matches(snapshot, p).collect())
-        assert want and sorted(delta.search_indexed(index, corpus, changes, p).collect()) == want
-    status = {r.path: r.status for r in delta.diff(corpus, snapshot).collect()}
-    assert status == {"main.rs": "Modified", "lib.rs": "Deleted", "new.rs": "Added"}
-    assert delta.update_plan(0, 10)["up_to_date"] and delta.update_plan(6, 10)["rebuild"] and not delta.update_plan(5, 10)["rebuild"]
-
-
-def test_stream_of_changes(spark, tmp_path):
-    source = str(tmp_path / "in")
-    spark.createDataFrame([("a", "A", "TODO one", 1), ("a", "M", "done", 2), ("b", "A", "TODO two", 1), ("c", "D", None, 1)], delta.CHANGE).write.parquet(source)
-    found = []
-    stream = spark.readStream.schema(delta.CHANGE).parquet(source)
-    delta.follow(stream, None, "TODO", lambda m, _: found.extend(m.collect()), str(tmp_path / "c")).awaitTermination()
-    assert [(r.path, r.text) for r in found] == [("b", "TODO")]
