@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,10 +10,12 @@ from pyspark.sql import functions as F
 
 from gramsieve.functions.grams import explode_grams, sparse_covering, trigrams
 from gramsieve.operators import budgets, search
-from gramsieve.operators.index import Index, bitmaps, posting_sizes
+from gramsieve.operators.index import Index, bitmaps, build, decode_postings, encode_postings, number_files, posting_sizes, postings_of
+from gramsieve.places import remove, shared_dir
 from gramsieve.plans import planner
 from gramsieve.sources.corpus import ignored, keep_files, parse_name_status, parse_porcelain
 from gramsieve.streaming import delta
+from gramsieve.streaming.overlay import Overlay, changes_of
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -109,9 +112,27 @@ def _postings(spark, sf_dir, which=BENCHMARK) -> DataFrame:
     return explode_grams(corpus(spark, sf_dir, which), "path", "text")
 
 
-def _index(spark, sf_dir, which=DOCUMENTS) -> Index:
-    files = corpus(spark, sf_dir, which).select(F.col("path").alias("file_id"), "path")
-    return Index(files, _postings(spark, sf_dir, which))
+#: Turns of conversations as files.
+TURNS = "SELECT conv_id * 1000 + turn AS path, text FROM conversations"
+#: Indexes that this program has written, by application, tables and kind.
+_BUILT: dict[tuple, str] = {}
+
+
+def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/conversations.parquet").select((F.col("conv_id") * 1000 + F.col("turn")).alias("path"), "text")
+
+
+def _index(spark, sf_dir, of_turns: bool = False) -> Index:
+    """An index on disk, written once an application: of documents by trigrams, of turns by sparse grams."""
+    key = (spark.sparkContext.applicationId, sf_dir, of_turns)
+    if key not in _BUILT:
+        path = f"{shared_dir(spark)}/index-{uuid.uuid4()}"
+        files = (turns if of_turns else corpus)(spark, sf_dir).withColumn("file_id", F.col("path"))
+        build(files, path, sparse=of_turns)
+        remove(spark, path, at_exit=True)
+        Index.open(spark, path)
+        _BUILT[key] = path
+    return Index.open(spark, _BUILT[key], check=False)
 
 
 @query(_BENCH)
@@ -178,11 +199,56 @@ def indexed_files(spark, sf_dir):
     return _index(spark, sf_dir).search_files(c, "License", planner.Override.TRIGRAM)
 
 
-@query("SELECT CAST(NULL AS BIGINT) AS path, CAST(NULL AS BIGINT) AS line, CAST(NULL AS BIGINT) AS col, CAST(NULL AS VARCHAR) AS text WHERE false")
+@query(f"SELECT count(*) AS scan_matches, count(*) AS indexed_matches, CAST(0 AS BIGINT) AS different FROM ({_matches_sql('Copyright|License')})")
 def indexed_equals_scan(spark, sf_dir):
-    """Matches that only one of scan and indexed search has: none."""
+    """Matches of scan and of indexed search, and how many only one of them has."""
     a, b = search.find_matches(corpus(spark, sf_dir), "Copyright|License"), _indexed(spark, sf_dir)
-    return a.exceptAll(b).unionByName(b.exceptAll(a))
+    names = ["path", "line", "col", "text"]
+    both = a.withColumn("s", F.lit(1)).unionByName(b.withColumn("s", F.lit(-1))).groupBy(*names).agg(F.count_if(F.col("s") > 0).alias("x"), F.count_if(F.col("s") < 0).alias("y"))
+    return both.agg(F.sum("x").alias("scan_matches"), F.sum("y").alias("indexed_matches"), F.sum(F.abs(F.col("x") - F.col("y"))).alias("different"))
+
+
+def _turn_search(override):
+    def run(spark, sf_dir):
+        return _index(spark, sf_dir, True).search(turns(spark, sf_dir).withColumn("file_id", F.col("path")), "[Tt]he [a-z]+|(er|ing)+ of", override)
+
+    return run
+
+
+for _o in planner.Override:
+    _run = _turn_search(_o)
+    _run.__name__ = f"turns_search_{_o.value}"
+    query(_matches_sql("[Tt]he [a-z]+|(er|ing)+ of", TURNS))(_run)
+
+
+@query("SELECT CAST(doc_id AS VARCHAR) AS path, row_number() OVER (ORDER BY CAST(doc_id AS VARCHAR)) - 1 AS file_id FROM documents")
+def file_numbers(spark, sf_dir):
+    return number_files(corpus(spark, sf_dir).withColumn("path", F.col("path").cast("string"))).select("path", "file_id")
+
+
+@query(f"""SELECT count(*) AS file_count, CAST(sum(strlen(text)) AS BIGINT) AS source_bytes, (SELECT count(DISTINCT gram) FROM ({_DOCS})) AS ngram_count, CAST(0 AS BIGINT) AS sparse_count,
+  (SELECT count(DISTINCT gram) FROM ({_DOCS})) AS trigram_only_count FROM documents""")
+def index_counts(spark, sf_dir):
+    return _index(spark, sf_dir).counts()
+
+
+@query(f"""SELECT 'trigram' AS strategy, CAST({len(_L)} AS BIGINT) AS lookups, count(*) AS files, count(*) FILTER (c.file_id IS NOT NULL) AS candidates, CAST(sum(strlen(text)) FILTER (c.file_id IS NOT NULL) AS BIGINT) AS bytes_read,
+  count(*) FILTER (contains(text, 'License')) AS files_matched, CAST(sum(len(regexp_extract_all(text, 'License'))) AS BIGINT) AS matches FROM documents d LEFT JOIN ({_set_sql(_L, True)}) c ON c.file_id = d.doc_id""")
+def search_counters(spark, sf_dir):
+    c = corpus(spark, sf_dir).withColumn("file_id", F.col("path"))
+    return _index(spark, sf_dir).search_counted(c, "License", planner.Override.TRIGRAM).drop("plan_seconds", "seconds")
+
+
+@query("SELECT doc_id AS file_id FROM documents WHERE regexp_matches(text, 'Licen[sc]e')")
+def verified_candidates(spark, sf_dir):
+    i, c = _index(spark, sf_dir), corpus(spark, sf_dir).withColumn("file_id", F.col("path"))
+    return search.verify(c.join(i.candidates(i.plan("Licen[sc]e")), "file_id", "left_semi"), "Licen[sc]e")
+
+
+@query(_BENCH)
+def postings_round_trip(spark, sf_dir):
+    """Lists encoded in the shortest form and decoded."""
+    return decode_postings(encode_postings(_postings(spark, sf_dir))).select("file_id", F.hex("gram").alias("gram"))
 
 
 def _two(spark, sf_dir):
@@ -210,8 +276,7 @@ def posting_difference(spark, sf_dir):
 
 @query(f"SELECT CAST(file_id // 32768 + 1 AS BIGINT) AS bucket, count(*) AS n FROM ({_DOCS}) WHERE gram = '746865' GROUP BY 1")
 def postings_bitmap(spark, sf_dir):
-    p = _postings(spark, sf_dir, DOCUMENTS).filter(F.col("gram") == F.lit(b"the"))
-    return bitmaps(p, ["gram"]).select("bucket", F.bitmap_count("bitmap").alias("n"))
+    return bitmaps(_index(spark, sf_dir).lookup([b"the"]), ["gram"]).select("bucket", F.bitmap_count("bitmap").alias("n"))
 
 
 @query(f"""WITH d AS (SELECT list_sort(list(c)) AS l, count(*) AS n, avg(c) AS m, max(c) AS x, count(*) FILTER (c > 1000) AS o, count(*) FILTER (c > 10000) AS p FROM (SELECT gram, count(*) AS c FROM ({_DOCS}) GROUP BY gram))
@@ -250,30 +315,44 @@ def plan_cost(spark, sf_dir):
     return planner.diagnostics(spark, list(_PLAIN)).select("pattern", "trigram_lookups", F.round("trigram_cost", 9).alias("trigram_cost"))
 
 
-@query()
+@query("""WITH t AS (SELECT item_id, hex(encode(text)) AS h, strlen(text) AS n FROM benchmark),
+p AS (SELECT item_id, i, substr(h, 2 * i + 1, 4) AS pair FROM (SELECT item_id, h, unnest(range(0, n - 1)) AS i FROM t)),
+r AS (SELECT pair, row_number() OVER (ORDER BY md5(unhex(pair))) AS w FROM (SELECT DISTINCT pair FROM p)),
+l AS (SELECT item_id, list(w ORDER BY i) AS ws FROM p JOIN r USING (pair) GROUP BY item_id),
+x AS (SELECT item_id, ws, a, unnest(range(a, len(ws) + 1)) AS b FROM (SELECT item_id, ws, unnest(range(1, len(ws) + 1)) AS a FROM l)),
+g AS (SELECT item_id, a, b FROM x WHERE b <= a + 1 OR least(ws[a], ws[b]) > list_max(ws[a+1:b-1]))
+SELECT item_id AS file_id, count(DISTINCT substr(h, 2 * a - 1, 2 * (b - a + 2))) AS n FROM g JOIN t USING (item_id) GROUP BY item_id""")
 def sparse_all_counts(spark, sf_dir):
-    """Sparse grams of each text; SQL would need all pairs of places, so tests hold it against the definition."""
+    """Sparse grams of each text."""
     return explode_grams(corpus(spark, sf_dir, BENCHMARK), "path", "text", sparse=True).groupBy("file_id").agg(F.count("*").alias("n"))
 
 
-@query("SELECT CAST(NULL AS BIGINT) AS file_id, CAST(NULL AS VARCHAR) AS gram WHERE false")
-def sparse_covering_subset_check(spark, sf_dir):
-    """Covering grams of literals, repeated pairs among them, that a text with the literal lacks: none."""
-    words = ["the ", "ation", "----", "abababab", "    ", "=====", "License"]
-    texts = corpus(spark, sf_dir, BENCHMARK)
-    for w in words:
-        texts = texts.unionByName(texts.sparkSession.createDataFrame([(-len(w), f"x{w}y {w}{w}")], "path long, text string"))
-    need = spark.createDataFrame([(w, bytearray(g)) for w in words for g in sparse_covering(w.encode())], "word string, gram binary")
-    due = texts.join(need, F.contains("text", "word")).select(F.col("path").alias("file_id"), "gram").distinct()
-    return due.join(explode_grams(texts, "path", "text", sparse=True), ["file_id", "gram"], "left_anti").select("file_id", F.hex("gram").alias("gram"))
+_REPEATED = ["the ", "ation", "----", "abababab", "    ", "=====", "License"]
+
+
+@query(f"""WITH w AS (SELECT unnest({_REPEATED!r}) AS word), t AS (SELECT item_id, text FROM benchmark UNION ALL SELECT -strlen(word) * 100 - ascii(word), 'x' || word || 'y ' || word || word FROM w)
+SELECT word, count(*) AS texts, CAST(0 AS BIGINT) AS missing FROM w JOIN t ON contains(text, word) GROUP BY word""")
+def sparse_covering_check(spark, sf_dir):
+    """For literals, with repeated pairs among them: the texts that hold them, and covering grams that such a text lacks."""
+    planted = spark.createDataFrame([(-len(w) * 100 - ord(w[0]), f"x{w}y {w}{w}") for w in _REPEATED], "path long, text string")
+    texts = corpus(spark, sf_dir, BENCHMARK).unionByName(planted)
+    need = spark.createDataFrame([(w, bytearray(g)) for w in _REPEATED for g in sparse_covering(w.encode())], "word string, gram binary")
+    due = texts.join(F.broadcast(need), F.contains("text", "word")).select(F.col("path").alias("file_id"), "word", "gram")
+    held = explode_grams(texts, "path", "text", sparse=True).withColumn("held", F.lit(True))
+    met = due.join(held, ["file_id", "gram"], "left")
+    return met.groupBy("word").agg(F.count_distinct("file_id").alias("texts"), F.count_if(F.col("held").isNull()).alias("missing"))
 
 
 # filters of a walk
 
 
-@query("SELECT page_id AS path FROM pages WHERE NOT contains(html, chr(0)) AND strlen(html) <= 1048576")
+@query("SELECT page_id AS path FROM pages WHERE page_id % 7 <> 0 OR (page_id % 2 = 0 AND strlen(html) >= 8192)")
 def binary_filter(spark, sf_dir):
-    files = corpus(spark, sf_dir, PAGES).select("path", F.octet_length("text").alias("length"), F.col("text").cast("binary").alias("content"))
+    """Every seventh page has a NUL: at its start, or, if its number is even, in place of its 8193rd byte or at its end."""
+    html, odd = F.col("text").cast("binary"), F.col("path") % 7 == 0
+    inside = F.concat(F.substring(html, 1, 8192), F.lit(b"\x00"), F.substring(html, 8194, 1 << 30))
+    content = F.when(odd & (F.col("path") % 2 != 0), F.concat(F.lit(b"\x00"), html)).when(odd, inside).otherwise(html)
+    files = corpus(spark, sf_dir, PAGES).select("path", F.octet_length("text").alias("length"), content.alias("content"))
     return keep_files(files, hidden=True).select("path")
 
 
@@ -324,8 +403,40 @@ def overlay_search(spark, sf_dir):
 
 @query(_matches_sql("License|FRESH_EDIT", _CHANGED))
 def overlay_search_indexed(spark, sf_dir):
+    """The base by its index and the changes by a layer's own."""
     base, changes = _changes(spark, sf_dir)
-    return delta.search_indexed(_index(spark, sf_dir), base.withColumn("file_id", F.col("path")), changes, "License|FRESH_EDIT")
+    return Overlay(changes, sparse=False).search(_index(spark, sf_dir), base.withColumn("file_id", F.col("path")), "License|FRESH_EDIT", planner.Override.TRIGRAM)
+
+
+@query(f"SELECT path FROM ({_CHANGED}) WHERE (path % 10 = 1 OR path >= 1000000) AND contains(text, 'the') AND contains(text, 'and')")
+def overlay_lookup(spark, sf_dir):
+    """Paths of a layer's files that hold two grams, by its postings."""
+    layer = Overlay(_changes(spark, sf_dir)[1], sparse=False)
+    return layer.path_of(layer.all_of([b"the", b"and"])).select("path")
+
+
+@query("""SELECT doc_id AS path, 'D' AS op, CAST(NULL AS BIGINT) AS n FROM documents WHERE doc_id % 10 = 0
+UNION ALL SELECT doc_id, CASE doc_id % 10 WHEN 1 THEN 'M' ELSE 'A' END, CAST(strlen(text) AS BIGINT) FROM documents WHERE doc_id % 10 IN (1, 2)""")
+def dirty_changes(spark, sf_dir):
+    """Listed files as changes, with the texts of the live ones."""
+    base = corpus(spark, sf_dir).withColumn("path", F.col("path").cast("string"))
+    d = F.col("path").cast("long") % 10
+    listed = base.filter(d < 3).select("path", F.when(d == 0, "Deleted").when(d == 1, "Modified").otherwise("Added").alias("status"))
+    listed = listed.unionByName(spark.createDataFrame([(".gramsieve/grams/part-0", "Added"), ("no such file", "Modified")], "path string, status string"))
+    return changes_of(listed, base).select(F.col("path").cast("long").alias("path"), "op", F.octet_length("text").cast("long").alias("n"))
+
+
+_EDITED = """SELECT item_id AS file_id, text FROM benchmark WHERE item_id % 5 > 1
+UNION ALL SELECT item_id + 1000, text || ' edited' FROM benchmark WHERE item_id % 5 = 1"""
+
+
+@query(f"SELECT DISTINCT file_id, substr(h, 2 * i + 1, 6) AS gram FROM (SELECT file_id, hex(encode(text)) AS h, unnest(range(0, strlen(text) - 2)) AS i FROM ({_EDITED}))")
+def compacted_postings(spark, sf_dir):
+    """Postings after an update: of each five items one is deleted and one edited, which takes a new id."""
+    items = corpus(spark, sf_dir, BENCHMARK).withColumnRenamed("path", "file_id")
+    fresh = items.filter("file_id % 5 = 1").select((F.col("file_id") + 1000).alias("file_id"), F.concat("text", F.lit(" edited")).alias("text"))
+    out = delta.compact(postings_of(items, sparse=False), items.filter("file_id % 5 < 2").select("file_id"), postings_of(fresh, sparse=False))
+    return out.select("file_id", F.hex("gram").alias("gram"))
 
 
 @query("SELECT doc_id AS path FROM documents WHERE doc_id % 10 = 0")
@@ -345,29 +456,43 @@ def snapshot_diff(spark, sf_dir):
     return delta.diff(base, delta.merged(base, changes))
 
 
-_STATUS = (" M src/a.rs", "?? new file.txt", " D gone.rs", "A  added.rs", "R  old.rs -> new.rs", "MM both.rs")
+_D = "doc_id % 6"
 
 
-@query("""SELECT * FROM (VALUES ('src/a.rs', 'Modified'), ('new file.txt', 'Added'), ('gone.rs', 'Deleted'), ('added.rs', 'Added'), ('old.rs', 'Deleted'), ('new.rs', 'Added'), ('both.rs', 'Modified')) t(path, status)""")
+@query(f"""SELECT 'd/' || doc_id || ' x.rs' AS path, CASE {_D} WHEN 0 THEN 'Modified' WHEN 1 THEN 'Added' WHEN 2 THEN 'Deleted' WHEN 3 THEN 'Added' ELSE 'Modified' END AS status FROM documents WHERE {_D} <> 4
+UNION ALL SELECT 'd/' || doc_id || '.rs', 'Deleted' FROM documents WHERE {_D} = 4 UNION ALL SELECT 'e/' || doc_id || '.rs', 'Added' FROM documents WHERE {_D} = 4""")
 def porcelain_parse(spark, sf_dir):
-    return parse_porcelain(spark.createDataFrame([(x,) for x in _STATUS], "line string"))
+    """A line of short status for each document."""
+    d, x = F.col("path") % 6, F.concat(F.lit("d/"), F.col("path"), F.lit(" x.rs"))
+    line = F.when(d == 4, F.concat(F.lit("R  d/"), "path", F.lit(".rs -> e/"), "path", F.lit(".rs")))
+    for k, code in ((0, " M"), (1, "??"), (2, " D"), (3, "A "), (5, "MM")):
+        line = F.when(d == k, F.concat(F.lit(f"{code} "), x)).otherwise(line)
+    return parse_porcelain(corpus(spark, sf_dir).select(line.alias("line")))
 
 
-@query("SELECT * FROM (VALUES ('a b.rs', 'Added'), ('c.rs', 'Deleted'), ('d.rs', 'Modified'), ('e.rs', 'Modified')) t(path, status)")
+@query("SELECT 'a b/' || doc_id AS path, CASE doc_id % 4 WHEN 0 THEN 'Added' WHEN 1 THEN 'Deleted' ELSE 'Modified' END AS status FROM documents")
 def name_status_parse(spark, sf_dir):
-    return parse_name_status(spark.createDataFrame([("A\ta b.rs",), ("D\tc.rs",), ("M\td.rs",), ("T\te.rs",)], "line string"))
+    letter = F.element_at(F.array(*map(F.lit, "ADMT")), (F.col("path") % 4 + 1).cast("int"))
+    return parse_name_status(corpus(spark, sf_dir).select(F.concat(letter, F.lit("\ta b/"), "path").alias("line")))
 
 
 # reports
 
 
-@query("""SELECT bench, CAST(change_pct AS DOUBLE) AS change_pct, key, CAST(allowed_pct AS DOUBLE) AS allowed_pct, status FROM (VALUES ('end/literal/p', 12.5, 'end.literal', 10.0, 'critical'), ('end/regex/q', 3.0, 'end.regex', 20.0, 'pass'), ('build/size', 30.0, 'build', 25.0, 'warning'), ('other/x', 99.0, NULL, NULL, 'unmapped'))
-t(bench, change_pct, key, allowed_pct, status)""")
+@query("""WITH b AS (SELECT *, CASE doc_id % 4 WHEN 0 THEN 'end/literal/' WHEN 1 THEN 'end/regex/' WHEN 2 THEN 'build/' ELSE 'other/' END || doc_id AS bench, CAST(doc_id % 41 AS DOUBLE) - 5.5 AS change_pct FROM documents),
+k AS (SELECT *, CASE WHEN doc_id % 4 = 0 THEN 'end.literal' WHEN doc_id % 4 = 1 AND doc_id % 10 = 5 THEN 'end.regex' WHEN doc_id % 4 = 1 THEN 'build' WHEN doc_id % 4 = 2 THEN 'build' END AS key FROM b),
+a AS (SELECT *, CAST(CASE key WHEN 'end.literal' THEN 10 WHEN 'end.regex' THEN 20 WHEN 'build' THEN 25 END AS DOUBLE) AS allowed_pct FROM k)
+SELECT bench, change_pct, key, allowed_pct, CASE WHEN key IS NULL THEN 'unmapped' WHEN change_pct <= allowed_pct THEN 'pass' WHEN key = 'build' THEN 'warning' ELSE 'critical' END AS status FROM a""")
 def budget_check(spark, sf_dir):
-    report = ["end/literal/p", "  time: [1 ms 2 ms 3 ms]", "  change: [+10.0% +12.5% +15.0%]", "end/regex/q  time: [1 ms 2 ms 3 ms] change: [+1% +3.0% +5%]", "build/size", "change: [+20% +30.0% +40%]", "other/x", "change: [+90% +99.0% +100%]"]
-    lines = spark.createDataFrame(list(enumerate(report)), "n int, line string")
+    """A measured change for each document, in both layouts, against three budgets."""
+    d, i = F.col("path") % 4, F.col("path")
+    bench = F.concat(F.when(d == 0, "end/literal/").when(d == 1, "end/regex/").when(d == 2, "build/").otherwise("other/"), i)
+    change = F.concat(F.lit("change: [-9.0% "), F.format_string("%+.1f", (i % 41).cast("double") - 5.5), F.lit("% +99.0%]"))
+    two = F.array(F.struct((2 * i).alias("n"), bench.alias("line")), F.struct((2 * i + 1).alias("n"), change.alias("line")))
+    one = F.array(F.struct((2 * i).alias("n"), F.concat(bench, F.lit("  time: [1 ms 2 ms 3 ms] "), change).alias("line")))
+    lines = corpus(spark, sf_dir).select(F.inline(F.when(i % 3 == 0, two).otherwise(one)))
     toml = "[end.literal]\nregression_pct = 10\ncritical = true\n[end.regex]\ncritical = true\n[build]\nthroughput_regression_pct = 25\ncritical = false\n"
-    mapping = spark.createDataFrame([("end/literal/*", "end.literal", 0), ("end/*/q", "end.regex", 1), ("end/regex/*", "build", 2), ("build/*", "build", 3)], "glob string, key string, place int")
+    mapping = spark.createDataFrame([("end/literal/*", "end.literal", 0), ("end/*/*5", "end.regex", 1), ("end/regex/*", "build", 2), ("build/*", "build", 3)], "glob string, key string, place int")
     return budgets.check(budgets.parse_changes(lines), budgets.load_budgets(spark, toml), mapping)
 
 
