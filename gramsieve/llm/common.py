@@ -4,14 +4,14 @@ from __future__ import annotations
 
 import contextlib
 import gc
-import re
-import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gramsieve.places import remove, shared_dir
+
 #: Words are maximal runs of characters outside this class (space and \t \n \v \f \r).
 SPACES = " \t\n\x0b\x0c\r"
 
@@ -32,18 +32,6 @@ def without(df: DataFrame, names: Iterable[str]) -> DataFrame:
     return df.drop(*[c for c in df.columns if c.lower() in taken])
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a temporary one, but only if
-    driver and executors are one process, as in tests; on a cluster that raises ValueError."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        path = spark.conf.get("spark.checkpoint.dir", None)
-        if not path and not re.fullmatch(r"local(\[[^]]*\])?", sc.master):
-            raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
-        sc.setCheckpointDir(path or tempfile.mkdtemp())
-    return sc.getCheckpointDir()
-
-
 #: Paths of tables that open scratches hold.
 _HELD: list[list[str]] = []
 
@@ -58,7 +46,7 @@ def cut(df: DataFrame, keep: bool = False) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/table-{uuid.uuid4()}"
     df.write.parquet(path)
-    _file_system(spark, path).deleteOnExit(spark._jvm.org.apache.hadoop.fs.Path(path))
+    remove(spark, path, at_exit=True)
     if _HELD and not keep:
         _HELD[-1].append(path)
     gc.collect()
@@ -66,10 +54,6 @@ def cut(df: DataFrame, keep: bool = False) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def _file_system(spark: SparkSession, path: str):
-    return spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
-
-
 @contextlib.contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
     """Deletes the tables that ``cut`` writes inside, at the end; nothing lazy may leave the block but over kept tables."""
@@ -78,7 +62,7 @@ def scratch(spark: SparkSession) -> Iterator[None]:
         yield
     finally:
         for path in _HELD.pop():
-            _file_system(spark, path).delete(spark._jvm.org.apache.hadoop.fs.Path(path), True)
+            remove(spark, path)
 
 
 def salted_lookup(left: DataFrame, right: DataFrame, keys: list[str], spread: Column, salts: int = 16, large: bool = False) -> DataFrame:

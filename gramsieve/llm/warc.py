@@ -28,7 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gramsieve.llm.common import salted_lookup, shared_dir
+from gramsieve.llm.common import salted_lookup
+from gramsieve.places import remove, shared_dir
 from gramsieve.shipping import ship
 
 MAGIC = b"\x1f\x8b\x08"
@@ -202,8 +203,9 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
 
 def archive(pages: DataFrame, **options) -> DataFrame:
-    """Writes the pages to a new folder of the shared one and reads the records back."""
+    """Writes the pages to a new folder of the shared one, which goes with the driver, and reads the records back."""
     spark = pages.sparkSession
     path = f"{shared_dir(spark)}/warc-{uuid.uuid4()}"
     write(pages, path, **options)
+    remove(spark, path, at_exit=True)
     return read(spark, path)
