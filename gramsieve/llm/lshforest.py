@@ -11,8 +11,8 @@
    at most ``REGION`` a row and tree, however dense the neighbourhood.
 4. What dense neighbourhoods (more than ``REGION`` rows at the first level, of several components) leave open is closed exactly:
    of two sets that can link, the rarest shingles, as many as they may differ by and one more, must meet. Shingles are ranked by
-   the open classes that hold them; those held by one class meet nobody and are counted off, so that most rows of a dense group
-   are shown to have no further partner without a single pair. Pairs whose sizes and places allow a link are confirmed.
+   the open classes that hold them; those held by one class come first and meet nobody, so that most rows of a dense group are
+   shown to have no further partner without a single pair. Pairs whose sizes and places allow a link are confirmed.
 
 A pair with Jaccard similarity 0.8 outside dense neighbourhoods shares no region with probability (1 - 0.8**4) ** 28, 3e-7.
 Signatures only rule out pairs whose agreement is ``SLACK`` below the threshold, five standard deviations.
@@ -45,8 +45,8 @@ TREES, LONGEST, LEVELS, REGION = 28, 12, (4, 6, 9, 12), 32
 #: Signature values: a tree starts four after the one before and goes round.
 K = 4 * TREES
 SLACK = 0.2
-#: Step between the classes of set sizes in which the rarest shingles meet.
-RATIO = 1.03
+#: Step between the classes of set sizes in which the rarest shingles meet, and shingles whose counts are sent to all tasks at most.
+RATIO, FREQUENT = 1.1, 1 << 16
 _ODD = (np.random.default_rng(7).integers(1, 1 << 62, K, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
 
 
@@ -251,36 +251,57 @@ def _closing(open_: DataFrame, percent: int) -> DataFrame:
 
     With an overlap of at least a shingles, the first n - a + 1 of both sets, in any common order, share one. The larger set of
     a pair gives them for each class of sizes that its partner may have, the smaller for its own, and the places of the first
-    that they share bound the overlap. ``n`` less the shingles that others hold as well are places taken by shingles held alone.
+    that they share bound the overlap. The order puts shingles by how many classes hold them; those of which there can be more
+    than ``FREQUENT`` count alike, as none, so the table of counts is of bounded size.
     """
-    low = lambda x, y: F.ceil(percent * (x + y) / (100.0 + percent) - 1e-9)  # least overlap that links sizes x and y
-    size_class = lambda n: F.floor(F.log(n.cast("double")) / float(np.log(RATIO)) + 1e-9).cast("int")
+    spark = open_.sparkSession
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                part = batch.slice(at, 64)
-                found = [np.frombuffer(x, np.int64) for x in part.column(3).to_pylist()]
-                size = [len(x) for x in found]
-                repeat = [np.repeat(part.column(i).to_numpy(), size) for i in range(3)]
-                yield pa.RecordBatch.from_arrays([*map(pa.array, repeat), pa.array(np.concatenate(found))], names=["c", "component", "n", "token"])
-
-    tokens = cut(open_.select("c", "component", "n", "hashes").mapInArrow(unpack, "c long, component long, n long, token long"))
-    held = tokens.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1")
-    shared = tokens.join(held.hint("merge"), "token")
-    # a document's shingles at most
-    own = W.partitionBy("c")
-    ranked = shared.withColumn("p", F.row_number().over(own.orderBy("df", "token")) - 1 + F.col("n") - F.count("*").over(own))
-    first = cut(ranked.filter(F.col("p") <= F.col("n") - F.ceil(F.col("n") * percent / 100.0 - 1e-9)).select("token", "c", "component", "n", "p"))
-    kept = first.filter(F.col("p") <= F.col("n") - low(F.col("n"), F.col("n"))).withColumn("s", size_class(F.col("n")))
-    kept = kept.select("token", "s", F.col("c").alias("cy"), F.col("component").alias("ky"), F.col("n").alias("ny"), F.col("p").alias("q"))
-    least = F.ceil(F.col("n") * percent / 100.0 - 1e-9)
-    asked = first.withColumn("s", F.explode(F.sequence(size_class(least), size_class(F.col("n")))))
-    asked = asked.filter(F.col("p") <= F.col("n") - low(F.col("n"), F.greatest(least, F.floor(F.pow(F.lit(RATIO), F.col("s"))))))
-    met = asked.join(kept.hint("merge"), ["token", "s"])
+            for x in batch.column(0):
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(x.as_py(), np.int64))], names=["token"])
+
+    total = open_.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).head()["n"]
+    tokens = open_.select("hashes").mapInArrow(unpack, "token long")
+    # at most FREQUENT shingles occur as often as that
+    often = tokens.groupBy("token").agg(F.count("*").alias("df")).filter(F.col("df") >= max(2, -(-total // FREQUENT))).collect()
+    often = np.array([(r["token"], r["df"]) for r in often], np.int64).reshape(-1, 2)
+    often = spark.sparkContext.broadcast(often[np.argsort(often[:, 0])])
+
+    def low(x, y):
+        """Least overlap that links sets of x and y shingles."""
+        return np.maximum(1, -(-percent * (x + y) // (100 + percent)))
+
+    def size_class(n):
+        return np.floor(np.log(n) / np.log(RATIO) + 1e-9).astype(np.int64)
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        token, df = often.value[:, 0], often.value[:, 1]
+        for batch in batches:
+            for c, component, found in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                t = np.frombuffer(found, np.int64)
+                n = len(t)
+                rank = np.zeros(n, np.int64)
+                if len(token):
+                    at = np.minimum(np.searchsorted(token, t), len(token) - 1)
+                    rank = np.where(token[at] == t, df[at], 0)
+                t = t[np.lexsort((t, rank))]
+                least = -(-percent * n // 100)
+                own = int(size_class(n))
+                runs = [(own, False, n - int(low(n, n)) + 1)]
+                for s in range(int(size_class(max(least, 1))), own + 1):
+                    runs.append((s, True, n - int(low(n, max(least, int(RATIO**s)))) + 1))
+                size = [r[2] for r in runs]
+                columns = [np.concatenate([t[:k] for k in size]), np.repeat([r[0] for r in runs], size), np.repeat([r[1] for r in runs], size), np.concatenate([np.arange(k) for k in size])]
+                one = [np.full(sum(size), v, np.int64) for v in (c, component, n)]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, columns), *map(pa.array, one)], names=["token", "s", "larger", "p", "c", "component", "n"])
+
+    both = cut(open_.select("c", "component", "hashes").mapInArrow(first, "token long, s long, larger boolean, p long, c long, component long, n long"))
+    smaller = both.filter("NOT larger").select("token", "s", F.col("c").alias("cy"), F.col("component").alias("ky"), F.col("n").alias("ny"), F.col("p").alias("q"))
+    met = both.filter("larger").join(smaller.hint("merge"), ["token", "s"])
     x, y = F.col("n"), F.col("ny")
     bound = 1 + F.least(x - F.col("p") - 1, y - F.col("q") - 1)
-    met = met.filter(((y < x) | ((y == x) & (F.col("cy") < F.col("c")))) & (F.col("component") != F.col("ky")) & (bound >= low(x, y)))
+    met = met.filter(((y < x) | ((y == x) & (F.col("cy") < F.col("c")))) & (F.col("component") != F.col("ky")) & ((100 + percent) * bound >= percent * (x + y)))
     return met.select(*_pair(F.col("c"), F.col("cy"))).distinct()
 
 
