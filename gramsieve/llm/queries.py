@@ -152,7 +152,7 @@ def op8_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = linededup.drop_recurring(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = linededup.drop_recurring(table(spark, sf_dir, "documents").select("doc_id", "text"), passage=50)
     return out.select("doc_id", "n_lines", "n_dropped", F.octet_length("text").cast("long").alias("kept_bytes"), F.sha2("text", 256).alias("kept_sha256"))
 
 
@@ -161,8 +161,11 @@ WITH d AS (
   SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents
 ), l AS (
   SELECT r, doc_id, p, ls[p] AS x FROM (SELECT r, doc_id, ls, unnest(range(1, len(ls) + 1)) AS p FROM d)
+), w AS (
+  SELECT *, regexp_extract_all(x, '[^\x20\x09-\x0D]+') AS ws FROM l
 ), k AS (
-  SELECT *, list_transform(regexp_extract_all(x, '[^\x20\x09-\x0D]+'), lambda w: CASE WHEN regexp_matches(w, '[0-9]') THEN '<*>' ELSE w END) AS k FROM l
+  SELECT *, CASE WHEN len(list_filter(ws, lambda w: NOT regexp_matches(w, '[0-9]'))) >= 0.6 * len(ws)
+    THEN list_transform(ws, lambda w: CASE WHEN regexp_matches(w, '[0-9]') THEN '<*>' ELSE w END) ELSE ws END AS k FROM w
 ), held AS (
   SELECT DISTINCT doc_id, k FROM k WHERE len(k) > 0
 ), c AS (
@@ -175,13 +178,17 @@ WITH d AS (
   SELECT n, lead, p, w FROM tok GROUP BY n, lead, p, w HAVING 2 * sum(c) >= any_value(al)
 ), shape AS (
   SELECT k, CAST(n AS VARCHAR) || CAST(lead AS VARCHAR) || string_agg(p || ':' || w, ' ' ORDER BY p) AS s
-  FROM tok JOIN fixed USING (n, lead, p, w) GROUP BY k, n, lead HAVING count(*) >= 0.6 * n
+  FROM tok JOIN fixed USING (n, lead, p, w) GROUP BY k, n, lead
+  HAVING count(*) FILTER (NOT regexp_matches(w, '[0-9]') AND w <> '<*>') >= 0.6 * n AND count(*) FILTER (p > 3) >= 0.6 * (n - 3)
 ), tm AS (
   SELECT h.doc_id, h.k, coalesce('t' || s, 'k' || array_to_string(h.k, ' ')) AS t FROM held h LEFT JOIN shape USING (k)
 ), often AS (
   SELECT t, min(doc_id) AS f FROM (SELECT DISTINCT doc_id, t FROM tm) GROUP BY t HAVING count(*) >= 10
+), again AS (
+  SELECT k, min(doc_id) AS f FROM held WHERE len(k) > 50 GROUP BY k HAVING count(*) >= 2
 ), gone AS (
   SELECT tm.doc_id, tm.k, true AS hit FROM tm JOIN often USING (t) WHERE tm.doc_id <> f
+  UNION SELECT h.doc_id, h.k, true FROM held h JOIN again USING (k) WHERE h.doc_id <> f
 ), done AS (
   SELECT k.r, k.doc_id, count(*) FILTER (len(k.k) > 0) AS n_lines, count(*) FILTER (hit) AS n_dropped,
     coalesce(string_agg(x, chr(10) ORDER BY p) FILTER (hit IS NULL), '') AS kept
