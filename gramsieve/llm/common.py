@@ -21,8 +21,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def words(text: Column) -> Column:
-    """The words of a text as an array; null text has none. Splits on one character, which needs no regular expression."""
-    plain = F.translate(F.coalesce(text, F.lit("")), SPACES[1:], " " * (len(SPACES) - 1))
+    """The words of a text as an array; null text has none. Splits on one character, which needs no regular expression;
+    one that finds the other spaces costs less than ``translate``, which makes an object of every character."""
+    plain = F.regexp_replace(F.coalesce(text, F.lit("")), f"[{SPACES[1:]}]", " ")
     return F.array_remove(F.split(plain, " "), "")
 
 
