@@ -7,7 +7,8 @@ no pivot; that orders vectors by the footrule distance of the two orders, pivots
 ``PREFIX``. The best ``SHARE`` of every block of the index, at least ``LEAST`` and ties included, are reranked by exact distance.
 
 The index is dealt by a hash of the id into blocks of about ``BLOCK`` vectors, each with inverted files of its own; queries
-come to every block, in blocks as well, so no task holds more than two blocks and no pair of vectors becomes a row.
+come to every block, in packs of about 1024, by a product of the two tables' partitions: nothing is broadcast or copied, and
+no pair of vectors becomes a row.
 
 Defined results: vectors that are null, zero, of another length than most, or hold null or non-finite components take no
 part, nor do rows without an id; a query's own id is never its neighbour; repeated rows count each as neighbours and ask once; ties go to the smaller
@@ -93,9 +94,13 @@ def search(df: DataFrame, is_query: Column, k: int = 10, vec_id: str = "vec_id",
 
     asked = usable(df.filter(is_query), vec_id, vector).filter(F.size("v") == lengths["n"]).dropDuplicates(["id", "v"])
     n_asked = asked.count()
-    queries = packed(asked, max(1, -(-n_asked // 1024)), seed + 2, "q")
+    packs = max(1, -(-n_asked // 1024))
+    # dealt to a number of partitions of their own, so that a partition that a task holds has a few packs
+    queries = cut(packed(asked, packs, seed + 2, "q").repartition(packs, "qb"))
     index = cut(packed(all_, blocks, seed + 1, "x"))
-    met = index.join(queries.withColumn("xb", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))), "xb").select("xb", "x", "q")
+    # each task reads its blocks and packs from the tables: copies of the packs, one a block, would grow with the square of
+    # the input, and Spark's estimate of their size, which leaves the copies out, would send them through the driver
+    met = index.crossJoin(queries.hint("shuffle_replicate_nl")).select("xb", "x", "q")
 
     def matrix(rows: pa.Scalar) -> tuple[np.ndarray, np.ndarray]:
         both = rows.values

@@ -53,3 +53,13 @@ def test_several_blocks(spark):
         got.setdefault(r.query_id, []).append(r.vec_id)
     hits = sum(len(set(near) & {v for v, _ in exact(ids, x, q)}) for q, near in got.items())
     assert len(got) == 80 and hits / 800 >= 0.9
+
+
+def test_blocks_and_queries_are_not_broadcast(spark):
+    """Query packs meet every block of the index; their copies must not go through the driver."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(3000, 8))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    found = permutation.search(df, F.col("vec_id") % 2 == 0, k=3, block=500)
+    assert len({r.query_id for r in found.collect()}) == 1500
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
