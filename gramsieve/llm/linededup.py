@@ -32,7 +32,7 @@ from gramsieve.llm.common import SPACES, cut, salted_lookup, without, words
 from gramsieve.shipping import ship
 
 LEAD, ALIKE = 3, 0.6
-#: Rows of (hash, hash) up to which a table is broadcast: 16 bytes each.
+#: Rows of up to three hashes up to which a table is broadcast: 24 bytes each.
 SMALL = 100_000
 
 
@@ -57,8 +57,11 @@ def _hash(tokens: Column) -> Column:
 
 
 def _near(df: DataFrame, right: DataFrame, keys: list[str], spread: Column, rows: int) -> DataFrame:
-    """Left join with a lookup table of known size: broadcast if small, else dealt with salted keys."""
-    return df.join(F.broadcast(right), keys, "left") if rows <= SMALL else salted_lookup(df, right, keys, spread)
+    """Left join with a lookup table of known size: broadcast if small, else dealt with salted keys.
+
+    A large one is merged, as Spark's estimate leaves its copies out and might send them all through the driver.
+    """
+    return df.join(F.broadcast(right), keys, "left") if rows <= SMALL else salted_lookup(df, right, keys, spread, large=True)
 
 
 def _lines(df: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -88,7 +91,8 @@ def templates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", min_doc
     found = _near(lines, some, ["m"], F.col("id"), n).filter("c IS NOT NULL").dropDuplicates(["m"])
     tokens = cut(found.select("m", "leaf", "c", "all", "size", F.posexplode("tokens").alias("pos", "token")).withColumns({"word": ~F.col("token").rlike("[0-9]|^<\\*>$"), "token": F.xxhash64("token")}))
     constant = tokens.groupBy("leaf", "pos", "token").agg(F.sum("c").alias("w"), F.first("all").alias("all")).filter("2 * w >= all").select("leaf", "pos", "token", F.lit(True).alias("fixed"))
-    met = salted_lookup(tokens, constant, ["leaf", "pos", "token"], F.col("m")).filter("fixed")
+    constant = cut(constant)
+    met = _near(tokens, constant, ["leaf", "pos", "token"], F.col("m"), constant.count()).filter("fixed")
     shape = met.groupBy("m", "leaf", "size").agg(F.sort_array(F.collect_list(F.struct("pos", "token"))).alias("k"), F.count_if("word").alias("n_words"))
     later = F.size(F.filter("k", lambda c: c["pos"] >= LEAD))
     alike = (F.col("n_words") >= F.lit(ALIKE) * F.col("size")) & (later >= F.lit(ALIKE) * (F.col("size") - LEAD))

@@ -72,3 +72,16 @@ def test_against_brute_force(spark):
 
 def test_empty_table(spark):
     assert linededup.drop_recurring(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_large_lookups_are_not_broadcast(spark, monkeypatch):
+    """Copies of a lookup table of over SMALL rows must not go through the driver, however small Spark takes it for."""
+    plans, cut = [], linededup.cut
+    monkeypatch.setattr(linededup, "cut", lambda df, *a: (df.collect(), plans.append(df._jdf.queryExecution().executedPlan().toString()), cut(df, *a))[2])
+    monkeypatch.setattr(linededup, "SMALL", 2)
+    rows = [(i, "\n".join(f"please contact {a} {b} for more details" for a in "abc" for b in ("today", "now"))) for i in range(12)]
+    out = linededup.drop_recurring(spark.createDataFrame(rows, "doc_id long, text string"), passage=50)
+    assert sum(r.n_dropped for r in out.collect()) == 11 * 6
+    plans.append(out._jdf.queryExecution().executedPlan().toString())
+    salted = [p for p in plans if "__salt" in p]
+    assert salted and not any("BroadcastHashJoin" in x and "__salt" in x for p in salted for x in p.splitlines())
