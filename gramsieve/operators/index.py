@@ -1,7 +1,8 @@
 """The n-gram inverted index as tables: grams with their files, looked up by set operations.
 
-Postings stay in long form (gram, file_id), written sorted by gram, so that a lookup prunes row groups and a frequent gram
-is never gathered into one row.
+Postings are written in blocks: a row holds a gram's files among those that one task met, at most ``PAIRS`` of them, as
+differences. A task packs its own files and sorts its blocks by gram, so nothing but the texts is dealt out, a lookup prunes
+row groups in each task's file, and a frequent gram is never gathered into one row.
 """
 
 from __future__ import annotations
@@ -15,12 +16,18 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from gramsieve.functions.grams import explode_grams
+from gramsieve.functions.grams import different, explode_grams, gram_pairs, texts_of
 from gramsieve.operators.search import find_matches, matching_files, scan_stats
 from gramsieve.plans import literals as L
 from gramsieve.plans.planner import Override, Plan, by_frequency, plan
+from gramsieve.shipping import ship
 
-VERSION = 3
+#: Since version 4 postings are in blocks.
+VERSION, FIRST_BLOCKS = 4, 4
+#: A block: ``n`` files of a gram, the first and the differences to the next ones.
+BLOCK = "gram binary, first long, n long, data binary"
+#: How many postings a task holds before it packs them, and how many it unpacks at once.
+PAIRS, UNPACKED = 1 << 22, 1 << 18
 
 
 class IndexError_(Exception):
@@ -65,23 +72,124 @@ def files_of(files: DataFrame, file_id: str = "file_id", path: str = "path", con
 
 def build(files: DataFrame, target: str, file_id: str = "file_id", path: str = "path", content: str = "text", base: str | None = None, sparse: bool = True) -> None:
     """Writes files, postings, grams and a manifest under ``target``."""
-    write(files_of(files, file_id, path, content), postings_of(files, file_id, content, sparse), target, sparse, base)
+    _write(files_of(files, file_id, path, content), blocks_of(files, file_id, content, sparse), target, sparse, base)
 
 
 def write(files: DataFrame, postings: DataFrame, target: str, sparse: bool, base: str | None = None) -> None:
-    """Writes the tables of an index: postings in order of gram, so that a lookup prunes row groups."""
+    """The same from postings (gram, file_id)."""
+    _write(files, pack(postings), target, sparse, base)
+
+
+def _write(files: DataFrame, blocks: DataFrame, target: str, sparse: bool, base: str | None) -> None:
     spark = files.sparkSession
     files.write.mode("overwrite").parquet(f"{target}/files")
-    postings.repartitionByRange("gram", "file_id").sortWithinPartitions("gram", "file_id").write.mode("overwrite").parquet(f"{target}/postings")
-    saved = spark.read.parquet(f"{target}/postings")
-    grams = saved.groupBy("gram").agg(F.count("*").alias("df")).withColumn("is_sparse", F.lit(sparse))
-    grams.repartitionByRange("gram").sortWithinPartitions("gram").write.mode("overwrite").parquet(f"{target}/grams")
+    blocks.sortWithinPartitions("gram").write.mode("overwrite").parquet(f"{target}/postings")
+    saved = spark.read.schema(BLOCK).parquet(f"{target}/postings")
+    grams = saved.groupBy("gram").agg(F.sum("n").alias("df")).withColumn("is_sparse", F.lit(sparse))
+    grams.sortWithinPartitions("gram").write.mode("overwrite").parquet(f"{target}/grams")
     counts = spark.read.parquet(f"{target}/files").agg(F.count("*").alias("file_count"), F.sum("n_bytes").alias("source_bytes"), _checksum("file_id", "path", "n_bytes").alias("files_checksum"))
     sums = spark.read.parquet(f"{target}/grams").agg(F.count("*").alias("ngram_count"), F.sum("df").alias("posting_count"), _checksum("gram", "df").alias("checksum"))
-    lists = saved.agg(_checksum("gram", "file_id").alias("postings_checksum"))
+    lists = saved.agg(_checksum("gram", "first", "n", "data").alias("postings_checksum"))
     counts.join(sums).join(lists).select(F.lit(VERSION).alias("version"), F.lit(sparse).alias("sparse"), "*", F.lit(base).cast("string").alias("base_commit")).write.mode("overwrite").parquet(f"{target}/manifest")
 
 
+def _packed(parts: list[tuple[pa.Array, np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    """Blocks of postings given as (grams, place in grams, file ids)."""
+    names = pa.concat_arrays([g for g, _, _ in parts]).dictionary_encode()
+    shift = np.cumsum([0, *(len(g) for g, _, _ in parts)])
+    codes = names.indices.to_numpy()[np.concatenate([c + k for (_, c, _), k in zip(parts, shift, strict=False)])]
+    files, rank = np.unique(np.concatenate([i for _, _, i in parts]), return_inverse=True)
+    key = different(codes.astype(np.int64) << 32 | rank)
+    codes, ids = key >> 32, files[key & 0xFFFFFFFF]
+    head = np.append(True, codes[1:] != codes[:-1])
+    at = np.flatnonzero(head)
+    gaps = np.diff(ids, prepend=0).view(np.uint64)
+    size = np.where(head, 0, 1 + sum((gaps >> np.uint64(7 * k) > 0).astype(np.int64) for k in range(1, 10)))
+    end = np.cumsum(size)
+    data = np.zeros(int(end[-1]), np.uint8)
+    for k in range(int(size.max())):
+        some = size > k
+        low = (gaps[some] >> np.uint64(7 * k) & np.uint64(127)).astype(np.uint8)
+        data[(end - size)[some] + k] = low | np.where(size[some] > k + 1, 128, 0).astype(np.uint8)
+    bounds = np.append((end - size)[at], end[-1]).astype(np.int32)
+    lists = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(bounds), pa.py_buffer(data)])
+    out = pa.RecordBatch.from_arrays([names.dictionary.take(pa.array(codes[at])), pa.array(ids[at]), pa.array(np.diff(np.append(at, len(codes)))), lists], names=["gram", "first", "n", "data"])
+    for i in range(0, len(at), 1 << 16):
+        yield out.slice(i, 1 << 16)
+
+
+def _in_blocks(parts: Iterator[tuple[pa.Array, np.ndarray, np.ndarray]], most: int = PAIRS) -> Iterator[pa.RecordBatch]:
+    held, n = [], 0
+    for part in parts:
+        if len(part[1]):
+            held.append(part)
+            n += len(part[1])
+        if n >= most:
+            yield from _packed(held)
+            held, n = [], 0
+    if held:
+        yield from _packed(held)
+
+
+def blocks_of(files: DataFrame, file_id: str = "file_id", content: str = "text", sparse: bool = True) -> DataFrame:
+    """Blocks of the grams of files. Texts are dealt over tasks first, as a table can lie in a few row groups: over three for
+    each core, so that they end together."""
+    ship(files.sparkSession)
+    tasks = 3 * files.sparkSession.sparkContext.defaultParallelism
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _in_blocks(part for b in batches for part in gram_pairs(b.column(0).to_numpy(), b.column(1), sparse))
+
+    return texts_of(files, file_id, content).repartition(tasks, "file_id").mapInArrow(run, BLOCK)
+
+
+def pack(postings: DataFrame, most: int = PAIRS) -> DataFrame:
+    """Blocks of postings (gram, file_id), where they lie."""
+    ship(postings.sparkSession)
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
+        for b in batches:
+            grams = b.column(0).dictionary_encode()
+            yield grams.dictionary, grams.indices.to_numpy(), b.column(1).to_numpy()
+
+    return postings.select("gram", "file_id").mapInArrow(lambda batches: _in_blocks(parts(batches), most), BLOCK)
+
+
+def unpack(blocks: DataFrame, at_once: int = UNPACKED) -> DataFrame:
+    """(gram, file_id) of blocks."""
+    ship(blocks.sparkSession)
+
+    def ids_of(first: np.ndarray, n: np.ndarray, data: np.ndarray) -> np.ndarray:
+        b = data.astype(np.uint64)
+        last = np.flatnonzero(b < 128)
+        begin = np.append(0, last[:-1] + 1)[: len(last)]
+        place = np.arange(len(b)) - np.repeat(begin, last - begin + 1)
+        gaps = np.add.reduceat((b & np.uint64(127)) << (7 * place).astype(np.uint64), begin).view(np.int64) if len(b) else np.zeros(0, np.int64)
+        at = np.cumsum(n) - n
+        out = np.zeros(int(n.sum()), np.int64)
+        follows = np.ones(len(out), bool)
+        follows[at] = False
+        out[follows] = gaps
+        run = np.cumsum(out)
+        return run - np.repeat(run[at] - first, n)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            first, n, lists = b.column(1).to_numpy(), b.column(2).to_numpy(), b.column(3).cast(pa.large_binary())
+            bounds = np.frombuffer(lists.buffers()[1], np.int64)[lists.offset : lists.offset + len(lists) + 1]
+            held = lists.buffers()[2]
+            data, so_far, i = np.frombuffer(held, np.uint8) if held is not None else np.zeros(0, np.uint8), np.cumsum(n), 0
+            while i < len(n):
+                j = max(i + 1, int(np.searchsorted(so_far, so_far[i] - n[i] + at_once, "right")))
+                ids = ids_of(first[i:j], n[i:j], data[bounds[i] : bounds[j]])
+                grams = pa.array(np.repeat(np.arange(i, j), n[i:j]))
+                for k in range(0, len(ids), 1 << 16):
+                    yield pa.RecordBatch.from_arrays([b.column(0).take(grams[k : k + (1 << 16)]), pa.array(ids[k : k + (1 << 16)])], names=["gram", "file_id"])
+                i = j
+
+    return blocks.select("gram", "first", "n", "data").mapInArrow(run, "gram binary, file_id long")
+
+
 def _checksum(*columns: str) -> Column:
     """A checksum of rows in any order."""
     return F.sum(F.xxhash64(*columns).cast("decimal(38,0)"))
@@ -98,8 +206,8 @@ def replace(spark: SparkSession, source: str, target: str) -> None:
 class Index:
     """Tables of an index: files, postings, grams. Without sparse grams every plan is a trigram plan."""
 
-    def __init__(self, files: DataFrame, postings: DataFrame, grams: DataFrame | None = None, sparse: bool = False):
-        self.files, self.postings, self.sparse = files, postings, sparse
+    def __init__(self, files: DataFrame, postings: DataFrame, grams: DataFrame | None = None, sparse: bool = False, blocks: DataFrame | None = None):
+        self.files, self.postings, self.sparse, self.blocks = files, postings, sparse, blocks
         self.grams = postings.groupBy("gram").agg(F.count("*").alias("df")).withColumn("is_sparse", F.lit(sparse)) if grams is None else grams
 
     @classmethod
@@ -108,12 +216,16 @@ class Index:
         manifest = spark.read.parquet(f"{target}/manifest").head()
         if manifest is None or manifest["version"] > VERSION:
             raise IndexError_(f"{target}: version {manifest and manifest['version']}; this code reads up to {VERSION}")
-        out = cls(*(spark.read.parquet(f"{target}/{t}") for t in ("files", "postings", "grams")), sparse=manifest["sparse"])
+        files, lists, grams = (spark.read.parquet(f"{target}/{t}") for t in ("files", "postings", "grams"))
+        in_blocks = manifest["version"] >= FIRST_BLOCKS
+        if set(lists.columns) != ({"gram", "first", "n", "data"} if in_blocks else {"gram", "file_id"}):
+            raise IndexError_(f"{target}: the posting table does not match the manifest")
+        out = cls(files, unpack(lists) if in_blocks else lists, grams, manifest["sparse"], lists if in_blocks else None)
         if check:
             seen = {
                 "gram": (out.grams.agg(F.count("*"), _checksum("gram", "df")), ("ngram_count", "checksum")),
                 "file": (out.files.agg(F.count("*"), _checksum("file_id", "path", "n_bytes")), ("file_count", "files_checksum")),
-                "posting": (out.postings.agg(F.count("*"), _checksum("gram", "file_id")), ("posting_count", "postings_checksum")),
+                "posting": (lists.agg(F.coalesce(F.sum("n"), F.lit(0)), _checksum("gram", "first", "n", "data")) if in_blocks else lists.agg(F.count("*"), _checksum("gram", "file_id")), ("posting_count", "postings_checksum")),
             }
             for name, (sums, keys) in seen.items():
                 if tuple(sums.head()) != tuple(manifest[k] or 0 if k.endswith("count") else manifest[k] for k in keys):
@@ -122,7 +234,10 @@ class Index:
 
     def lookup(self, grams: list[bytes]) -> DataFrame:
         """(gram, file_id) of some grams; an unknown gram has none."""
-        return self.postings.filter(F.col("gram").isin([bytearray(g) for g in grams])) if grams else self.postings.limit(0)
+        if not grams:
+            return self.postings.limit(0)
+        among = F.col("gram").isin([bytearray(g) for g in grams])
+        return self.postings.filter(among) if self.blocks is None else unpack(self.blocks.filter(among))
 
     def path_of(self, ids: DataFrame) -> DataFrame:
         """(file_id, path) of some ids; an unknown one has none."""

@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -135,3 +137,48 @@ def test_empty_corpus(spark):
     none = spark.createDataFrame([], "file_id long, path string, text string")
     i = ix.Index(none, ix.postings_of(none))
     assert i.stats().head().asDict() == {"ngram_count": 0, "mean_df": 0.0, "median_df": 0, "p95_df": 0, "p99_df": 0, "max_df": 0, "over_1000": 0, "over_10000": 0}
+
+
+def test_grams_of_many_texts():
+    """Texts side by side have the grams of each alone, with pairs near and far, in one part or in several."""
+    random.seed(4)
+    texts = [bytes(random.choices(random.choice([b"ab", b"aab", b"abcd-=", bytes(range(256))]), k=k)) for k in (0, 1, 2, 3, 40, 700, 3000) for _ in range(4)]
+    texts += [None, b"ab" * 300, b"a" * 300, bytes(range(256)) * 3, "Gewächshaus ".encode() * 40]
+    random.shuffle(texts)
+    ids = np.arange(len(texts)) * 7 - 20
+    for sparse, plain in ((True, grams.sparse_all), (False, grams.trigrams)):
+        want = sorted((int(i), g) for i, t in zip(ids, texts, strict=True) for g in plain(t or b""))
+        for step in (1 << 19, 100):
+            parts = grams.gram_pairs(ids, pa.array(texts, pa.binary()), sparse, step)
+            assert sorted((i, g) for names, at, of in parts for i, g in zip(of.tolist(), names.take(pa.array(at)).to_pylist(), strict=True)) == want
+
+
+def test_postings_lie_in_blocks(spark, tmp_path):
+    """A build reads texts twice, for files and for grams, and a gram's files lie in few rows; any ids come back."""
+    ids = [0, 1, 127, 128, 129, 1 << 40, (1 << 63) - 1, -(1 << 63), -5]
+    read = spark.sparkContext.accumulator(0)
+    text = F.udf(lambda i: (read.add(1), f"a rose {i % 3}")[1])
+    files = spark.createDataFrame([(i,) for i in ids], "file_id long").coalesce(1).select("file_id", F.col("file_id").cast("string").alias("path"), text("file_id").alias("text"))
+    target = str(tmp_path / "i")
+    ix.build(files, target)
+    assert read.value <= 2 * len(ids)
+    opened = ix.Index.open(spark, target)
+    assert sorted(r.file_id for r in opened.lookup([b"ros"]).collect()) == sorted(ids)
+    want = sorted((r.file_id, bytes(r.gram)) for r in ix.postings_of(files).collect())
+    assert sorted((r.file_id, bytes(r.gram)) for r in opened.postings.collect()) == want
+    assert ix.pack(opened.postings.coalesce(1)).count() == opened.grams.count() and opened.frequencies([b"ros"]) == {b"ros": len(ids)}
+    few = spark.createDataFrame(list(range(40)), "long").select(F.lit(b"abc").alias("gram"), F.col("value").alias("file_id")).coalesce(1)
+    assert ix.pack(few.repartition(8), most=2).count() > 3
+    for at_once in (1, 7, 1000):
+        small = ix.unpack(ix.pack(opened.postings, most=2).unionByName(ix.pack(few)), at_once)
+        assert sorted((r.file_id, bytes(r.gram)) for r in small.collect()) == sorted(want + [(i, b"abc") for i in range(40)])
+    saved = spark.read.parquet(f"{target}/manifest").withColumn("version", F.lit(3)).collect()
+    spark.createDataFrame(saved, spark.read.parquet(f"{target}/manifest").schema).write.mode("overwrite").parquet(f"{target}/manifest")
+    with pytest.raises(ix.IndexError_):
+        ix.Index.open(spark, target, check=False)
+    # an index of version 3 held a row for each posting
+    rows = spark.createDataFrame([(bytearray(g), i) for i, g in want], "gram binary, file_id long")
+    rows.write.mode("overwrite").parquet(f"{target}/postings")
+    sums = rows.agg(ix._checksum("gram", "file_id").alias("postings_checksum")).head()[0]
+    spark.createDataFrame(saved, spark.read.parquet(f"{target}/manifest").schema).withColumn("postings_checksum", F.lit(sums)).write.mode("overwrite").parquet(f"{target}/manifest")
+    assert ix.Index.open(spark, target).all_of([b"ros", b"e 1"]).count() == sum(i % 3 == 1 for i in ids)
