@@ -189,13 +189,16 @@ def texts_of(df: DataFrame, file_id: str, content: str) -> DataFrame:
     return df.select(F.col(file_id).cast("long").alias("file_id"), F.col(content).cast("binary").alias("content")).filter("file_id IS NOT NULL")
 
 
-def explode_grams(df: DataFrame, file_id: str, content: str, sparse: bool = False) -> DataFrame:
-    """(file_id, gram): the different byte grams of each file, from Arrow batches by NumPy."""
+def explode_grams(df: DataFrame, file_id: str, content: str, sparse: bool = False, only: list[bytes] | None = None) -> DataFrame:
+    """(file_id, gram): the different byte grams of each file, or those among ``only``, from Arrow batches by NumPy."""
     ship(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for grams, codes, ids in gram_pairs(batch.column(0).to_numpy(), batch.column(1), sparse):
+                if only is not None:
+                    met = pc.is_in(grams, value_set=pa.array(only, pa.binary())).to_numpy(zero_copy_only=False)[codes]
+                    codes, ids = codes[met], ids[met]
                 for i in range(0, len(ids), 1 << 16):
                     yield pa.RecordBatch.from_arrays([pa.array(ids[i : i + (1 << 16)]), grams.take(pa.array(codes[i : i + (1 << 16)]))], names=["file_id", "gram"])
 

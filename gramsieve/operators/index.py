@@ -8,7 +8,7 @@ row groups in each task's file, and a frequent gram is never gathered into one r
 from __future__ import annotations
 
 import time
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,10 +34,10 @@ class IndexError_(Exception):
     """The index can't be opened."""
 
 
-def postings_of(files: DataFrame, file_id: str = "file_id", content: str = "text", sparse: bool = True) -> DataFrame:
-    """(gram, file_id), each once. Sparse grams hold all trigrams, as nothing lies between two pairs side by side, so both
+def postings_of(files: DataFrame, file_id: str = "file_id", content: str = "text", sparse: bool = True, only: list[bytes] | None = None) -> DataFrame:
+    """(gram, file_id), each once; of all grams or of a few. Sparse grams hold all trigrams, as nothing lies between two pairs side by side, so both
     strategies find their grams among them."""
-    return explode_grams(files, file_id, content, sparse)
+    return explode_grams(files, file_id, content, sparse, only)
 
 
 def number_files(corpus: DataFrame, path: str = "path", ranges: int | None = None) -> DataFrame:
@@ -195,6 +195,10 @@ def _checksum(*columns: str) -> Column:
     return F.sum(F.xxhash64(*columns).cast("decimal(38,0)"))
 
 
+def _among(grams: list[bytes]) -> Column:
+    return F.col("gram").isin([bytearray(g) for g in grams])
+
+
 def replace(spark: SparkSession, source: str, target: str) -> None:
     """Puts a complete index in the place of another."""
     path = spark._jvm.org.apache.hadoop.fs.Path
@@ -204,10 +208,15 @@ def replace(spark: SparkSession, source: str, target: str) -> None:
 
 
 class Index:
-    """Tables of an index: files, postings, grams. Without sparse grams every plan is a trigram plan."""
+    """Tables of an index: files, postings, grams. Without sparse grams every plan is a trigram plan.
+
+    ``of_grams`` gives the postings of some grams, where that takes less than a filter of all postings.
+    """
 
-    def __init__(self, files: DataFrame, postings: DataFrame, grams: DataFrame | None = None, sparse: bool = False, blocks: DataFrame | None = None):
-        self.files, self.postings, self.sparse, self.blocks = files, postings, sparse, blocks
+    def __init__(self, files: DataFrame, postings: DataFrame, grams: DataFrame | None = None, sparse: bool = False, of_grams: Callable[[list[bytes]], DataFrame] | None = None):
+        self.files, self.postings, self.sparse = files, postings, sparse
+        self.of_grams = of_grams or (lambda some: postings.filter(_among(some)))
+        self.saved = grams is not None
         self.grams = postings.groupBy("gram").agg(F.count("*").alias("df")).withColumn("is_sparse", F.lit(sparse)) if grams is None else grams
 
     @classmethod
@@ -220,7 +229,7 @@ class Index:
         in_blocks = manifest["version"] >= FIRST_BLOCKS
         if set(lists.columns) != ({"gram", "first", "n", "data"} if in_blocks else {"gram", "file_id"}):
             raise IndexError_(f"{target}: the posting table does not match the manifest")
-        out = cls(files, unpack(lists) if in_blocks else lists, grams, manifest["sparse"], lists if in_blocks else None)
+        out = cls(files, unpack(lists), grams, manifest["sparse"], lambda some: unpack(lists.filter(_among(some)))) if in_blocks else cls(files, lists, grams, manifest["sparse"])
         if check:
             seen = {
                 "gram": (out.grams.agg(F.count("*"), _checksum("gram", "df")), ("ngram_count", "checksum")),
@@ -234,10 +243,7 @@ class Index:
 
     def lookup(self, grams: list[bytes]) -> DataFrame:
         """(gram, file_id) of some grams; an unknown gram has none."""
-        if not grams:
-            return self.postings.limit(0)
-        among = F.col("gram").isin([bytearray(g) for g in grams])
-        return self.postings.filter(among) if self.blocks is None else unpack(self.blocks.filter(among))
+        return self.of_grams(grams) if grams else self.postings.limit(0)
 
     def path_of(self, ids: DataFrame) -> DataFrame:
         """(file_id, path) of some ids; an unknown one has none."""
@@ -245,8 +251,10 @@ class Index:
 
     def frequencies(self, grams: list[bytes]) -> dict[bytes, int]:
         """In how many files each of a pattern's grams is; a few rows of the gram table."""
-        some = self.grams.filter(F.col("gram").isin([bytearray(g) for g in grams])) if grams else self.grams.limit(0)
-        return {bytes(r["gram"]): r["df"] for r in some.select("gram", "df").collect()}
+        if not grams:
+            return {}
+        some = self.grams.filter(_among(grams)).select("gram", "df") if self.saved else self.lookup(grams).groupBy("gram").agg(F.count("*").alias("df"))
+        return {bytes(r["gram"]): r["df"] for r in some.collect()}
 
     def contains(self, gram: bytes) -> bool:
         return not self.lookup([gram]).isEmpty()

@@ -43,7 +43,7 @@ class Overlay:
         self.last = delta.latest(changes)
         live = self.last.filter("op <> 'D'").select("path", "text")
         self.corpus = ix.number_files(live).withColumn("file_id", F.col("file_id") + first)
-        self.index = ix.Index(self.corpus.select("file_id", "path", F.octet_length("text").cast("long").alias("n_bytes")), ix.postings_of(self.corpus, sparse=sparse), sparse=sparse)
+        self.index = ix.Index(self.corpus.select("file_id", "path", F.octet_length("text").cast("long").alias("n_bytes")), ix.postings_of(self.corpus, sparse=sparse), sparse=sparse, of_grams=lambda some: ix.postings_of(self.corpus, sparse=sparse, only=some))
 
     @classmethod
     def empty(cls, spark: SparkSession, **options) -> Overlay:

@@ -47,6 +47,13 @@ def test_layer(spark):
     assert overlay.is_internal("x/.gramsieve/files/p") and not overlay.is_internal("x/gramsieve/p")
 
 
+def test_a_layer_gives_only_the_grams_looked_up(spark):
+    layer = overlay.Overlay(spark.createDataFrame(CHANGES, delta.CHANGE))
+    assert {(bytes(r.gram), r.file_id) for r in ix.postings_of(layer.corpus, only=[b"ink", b"QQQ", b"an"]).collect()} == {(b"ink", overlay.FIRST), (b"ink", overlay.FIRST + 1), (b"an", overlay.FIRST + 1)}
+    assert "Filter" not in layer.lookup([b"ink"])._jdf.queryExecution().analyzed().toString().split("MapInArrow")[0]
+    assert layer.index.frequencies([b"ink", b"QQQ"]) == {b"ink": 2} and layer.index.frequencies([]) == {}
+
+
 def test_dirty_files_of_a_repository(spark, tmp_path):
     def git(*a):
         subprocess.run(["git", "-C", str(tmp_path), "-c", "user.name=a", "-c", "user.email=a@b.c", *a], check=True, capture_output=True)
