@@ -28,6 +28,8 @@ VERSION, FIRST_BLOCKS = 4, 4
 BLOCK = "gram binary, first long, n long, data binary"
 #: How many postings a task holds before it packs them, and how many it unpacks at once.
 PAIRS, UNPACKED = 1 << 22, 1 << 18
+#: Bytes of a table, as Spark's statistics have them, that one task of a build takes (fixed value).
+DEALT = 16 << 20
 
 
 class IndexError_(Exception):
@@ -133,14 +135,17 @@ def _in_blocks(parts: Iterator[tuple[pa.Array, np.ndarray, np.ndarray]], most: i
 
 def blocks_of(files: DataFrame, file_id: str = "file_id", content: str = "text", sparse: bool = True) -> DataFrame:
     """Blocks of the grams of files. Texts are dealt over tasks first, as a table can lie in a few row groups: over three for
-    each core, so that they end together."""
-    ship(files.sparkSession)
-    tasks = 3 * files.sparkSession.sparkContext.defaultParallelism
+    each core, so that they end together, and over one for each ``DEALT`` bytes, as far as the session's shuffle partitions."""
+    spark = files.sparkSession
+    ship(spark)
+    texts = texts_of(files, file_id, content)
+    size = int(str(texts._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    tasks = max(3 * spark.sparkContext.defaultParallelism, min(size // DEALT, int(spark.conf.get("spark.sql.shuffle.partitions"))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _in_blocks(part for b in batches for part in gram_pairs(b.column(0).to_numpy(), b.column(1), sparse))
 
-    return texts_of(files, file_id, content).repartition(tasks, "file_id").mapInArrow(run, BLOCK)
+    return texts.repartition(tasks, "file_id").mapInArrow(run, BLOCK)
 
 
 def pack(postings: DataFrame, most: int = PAIRS) -> DataFrame:

@@ -182,3 +182,21 @@ def test_postings_lie_in_blocks(spark, tmp_path):
     sums = rows.agg(ix._checksum("gram", "file_id").alias("postings_checksum")).head()[0]
     spark.createDataFrame(saved, spark.read.parquet(f"{target}/manifest").schema).withColumn("postings_checksum", F.lit(sums)).write.mode("overwrite").parquet(f"{target}/manifest")
     assert ix.Index.open(spark, target).all_of([b"ros", b"e 1"]).count() == sum(i % 3 == 1 for i in ids)
+
+
+def test_a_build_deals_texts_over_tasks(spark, tmp_path):
+    """A table of one row group, whose texts one task would take, is indexed by many, and by more the larger it is."""
+    files = spark.range(300).select(F.col("id").alias("file_id"), F.concat(F.lit("posted "), "id").alias("text")).coalesce(1)
+    files.write.parquet(str(tmp_path / "t"))
+    table = spark.read.parquet(str(tmp_path / "t"))
+    assert table.rdd.getNumPartitions() == 1
+    cores = spark.sparkContext.defaultParallelism
+    tasks = ix.blocks_of(table, sparse=False).select(F.spark_partition_id().alias("p")).distinct().count()
+    assert cores < tasks <= 3 * cores
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "40")
+        unknown = spark.createDataFrame(table.rdd, table.schema)  # of any size, as Spark knows none
+        assert ix.blocks_of(unknown, sparse=False).rdd.getNumPartitions() == 40
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
