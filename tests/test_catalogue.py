@@ -46,6 +46,14 @@ def test_sparse_counts(spark):
     assert {r.file_id: r.n for r in catalogue.sparse_all_counts(spark, SF).collect()} == {i: n(t) for i, t in texts.items()}
 
 
+@pytest.mark.parametrize("name, of_turns, least", [("candidates_all", False, 3), ("turns_search_auto", True, 1)])
+def test_index_holds_fewer_rows_than_postings(spark, name, of_turns, least):
+    assert catalogue.QUERIES[name](spark, SF).count() > 0
+    index = catalogue._index(spark, SF, of_turns)
+    rows = spark.read.parquet(catalogue._BUILT[spark.sparkContext.applicationId, SF, of_turns] + "/postings").count()
+    assert rows * least < index.grams.agg({"df": "sum"}).head()[0] == index.postings.count()
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
